@@ -63,10 +63,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the session leaves it unset (tests, local runs) a fresh scratch
     folder is created and registered.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    registered = sc.getCheckpointDir()
+    if registered:
+        return registered
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if current:
+        sc.setCheckpointDir(current)
         return current
     path = tempfile.mkdtemp(prefix="kestrel-ckpt-", dir=os.environ.get("KESTREL_SCRATCH", "/tmp"))
     spark.sparkContext.setCheckpointDir(path)

@@ -1,3 +1,4 @@
 """Importing this module registers every key (see registry.py)."""
 
 from kestrel.plans import cat_analytics  # noqa: F401
+from kestrel.plans import cat_features  # noqa: F401

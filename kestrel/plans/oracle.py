@@ -173,3 +173,97 @@ def q(uses: tuple[str, ...], body: str, rnd: tuple[str, ...] = ()) -> str:
             f" ELSE {c} END AS {c}" for c in rnd)
         sql = f"SELECT * REPLACE ({repl}) FROM (\n{sql}\n) AS _o"
     return sql
+
+
+# --- features (X1-X10): native windows + a recursive CTE for the EWM indicators ----
+
+def _alpha(span: int) -> str:
+    return f"(CAST(2 AS DOUBLE) / {span + 1})"
+
+
+A14 = "(CAST(1 AS DOUBLE) / 14)"
+A12, A26, A9 = _alpha(12), _alpha(26), _alpha(9)
+
+
+def _features_fragment(target_frame: str) -> str:
+    return f"""fx_lag AS (
+  SELECT ticker, date, high, low, close, adj_close, volume,
+         row_number() OVER w - 1 AS i,
+         lag(adj_close, 1) OVER w AS p1, lag(adj_close, 5) OVER w AS p5,
+         lag(adj_close, 20) OVER w AS p20, lag(close, 1) OVER w AS c1
+  FROM prices_daily WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+fx_lr AS (
+  SELECT *, CASE WHEN p1 > 0 AND adj_close > 0 THEN ln(adj_close / p1) END AS lr,
+         greatest(high - low, abs(high - c1), abs(low - c1)) AS tr,
+         adj_close - p1 AS dp
+  FROM fx_lag),
+fx_win AS (
+  SELECT *,
+    CASE WHEN p5 > 0 AND adj_close > 0 THEN ln(adj_close / p5) END AS ret_5d,
+    CASE WHEN p20 > 0 AND adj_close > 0 THEN ln(adj_close / p20) END AS ret_20d,
+    CASE WHEN count(lr) OVER w5 = 5 THEN stddev_samp(lr) OVER w5 * {SQRT252} END AS vol_5d,
+    CASE WHEN count(lr) OVER w20 = 20 THEN stddev_samp(lr) OVER w20 * {SQRT252} END AS vol_20d,
+    count(adj_close) OVER w20 AS n_p20, avg(adj_close) OVER w20 AS m20, stddev_pop(adj_close) OVER w20 AS s20,
+    count(volume) OVER w20 AS n_v20, avg(volume) OVER w20 AS vm20,
+    CASE WHEN count(lr) OVER wt = 5 THEN avg(abs(lr)) OVER wt END AS abs_return_next
+  FROM fx_lr
+  WINDOW w5 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
+         w20 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
+         wt AS (PARTITION BY ticker ORDER BY date {target_frame})),
+fx_rec AS (
+  WITH RECURSIVE r(ticker, i, e12, e26, eu, ed, trs, atr, sig) AS (
+    SELECT ticker, i, adj_close, adj_close, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), tr,
+           CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE)
+    FROM fx_lr WHERE i = 0
+    UNION ALL
+    SELECT x.ticker, x.i,
+      (1 - {A12}) * r.e12 + {A12} * x.adj_close,
+      (1 - {A26}) * r.e26 + {A26} * x.adj_close,
+      (1 - {A14}) * r.eu + {A14} * (CASE WHEN x.dp > 0 THEN x.dp ELSE 0 END),
+      (1 - {A14}) * r.ed + {A14} * (CASE WHEN x.dp < 0 THEN -x.dp ELSE 0 END),
+      r.trs + x.tr,
+      CASE WHEN x.i < 13 THEN CAST(0 AS DOUBLE)
+           WHEN x.i = 13 THEN (r.trs + x.tr) / 14
+           ELSE (r.atr * 13 + x.tr) / CAST(14 AS DOUBLE) END,
+      CASE WHEN x.i < 25 THEN NULL
+           WHEN x.i = 25 THEN ((1 - {A12}) * r.e12 + {A12} * x.adj_close) - ((1 - {A26}) * r.e26 + {A26} * x.adj_close)
+           ELSE (1 - {A9}) * r.sig + {A9} * (((1 - {A12}) * r.e12 + {A12} * x.adj_close)
+                                              - ((1 - {A26}) * r.e26 + {A26} * x.adj_close)) END
+    FROM r JOIN fx_lr x ON x.ticker = r.ticker AND x.i = r.i + 1)
+  SELECT * FROM r),
+feature_frame AS (
+  SELECT w.ticker, w.date, w.lr AS ret_1d, w.ret_5d, w.ret_20d, w.vol_5d, w.vol_20d,
+    CASE WHEN w.n_p20 = 20 AND w.m20 <> 0 THEN ((w.m20 + 2 * w.s20) - (w.m20 - 2 * w.s20)) / w.m20 END AS bb_width,
+    CASE WHEN w.close <> 0 THEN r.atr / w.close END AS atr_14,
+    CASE WHEN w.i < 13 THEN NULL WHEN r.ed = 0 THEN CAST(100 AS DOUBLE)
+         ELSE 100 - (100 / (1 + r.eu / r.ed)) END AS rsi_14,
+    CASE WHEN w.i >= 25 THEN r.e12 - r.e26 END AS macd,
+    CASE WHEN w.i >= 33 THEN r.sig END AS macd_signal,
+    CASE WHEN w.i >= 33 THEN (r.e12 - r.e26) - r.sig END AS macd_diff,
+    CASE WHEN w.n_v20 = 20 AND w.vm20 <> 0 THEN w.volume / w.vm20 END AS volume_ratio,
+    w.abs_return_next
+  FROM fx_win w JOIN fx_rec r ON r.ticker = w.ticker AND r.i = w.i),
+fx_q AS (
+  SELECT ticker, count(abs_return_next) AS n,
+         quantile_cont(abs_return_next, 1.0 / 3) AS q33, quantile_cont(abs_return_next, 2.0 / 3) AS q67
+  FROM feature_frame GROUP BY ticker),
+labelled AS (
+  SELECT f.*, CAST(CASE WHEN q.n < 60 OR f.abs_return_next IS NULL THEN NULL
+                        WHEN f.abs_return_next <= q.q33 THEN 0
+                        WHEN f.abs_return_next <= q.q67 THEN 1 ELSE 2 END AS INTEGER) AS regime
+  FROM feature_frame f JOIN fx_q q ON q.ticker = f.ticker),
+ml_features AS (
+  SELECT * FROM labelled
+  WHERE ret_1d IS NOT NULL AND ret_5d IS NOT NULL AND ret_20d IS NOT NULL AND vol_5d IS NOT NULL
+    AND vol_20d IS NOT NULL AND bb_width IS NOT NULL AND atr_14 IS NOT NULL AND rsi_14 IS NOT NULL
+    AND macd IS NOT NULL AND macd_signal IS NOT NULL AND volume_ratio IS NOT NULL)"""
+
+
+FRAGMENTS["ml_features"] = (_features_fragment("ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING"), ("prices_daily",))
+FRAGMENTS["ml_features_fwd"] = (
+    _features_fragment("ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING")
+    .replace("fx_", "fy_").replace("feature_frame", "feature_frame_fwd").replace("labelled", "labelled_fwd")
+    .replace("ml_features AS", "ml_features_fwd AS"),
+    ("prices_daily",))
+FEATURE_FLOATS = ("ret_1d", "ret_5d", "ret_20d", "vol_5d", "vol_20d", "bb_width", "atr_14",
+                  "rsi_14", "macd", "macd_signal", "macd_diff", "volume_ratio", "abs_return_next")
