@@ -91,13 +91,15 @@ def confusion_row_pct(predictions: DataFrame) -> DataFrame:
 def classification_report(predictions: DataFrame) -> DataFrame:
     """Per class precision / recall / F1 / support, plus accuracy, macro and weighted rows."""
     p = predictions.filter(F.col("actual_regime").isNotNull())
-    per = p.select(F.explode(F.array(*[F.lit(i) for i in sorted(REGIME_LABELS)])).alias("cls"),
-                   "actual_regime", "predicted_regime")
-    stats = per.groupBy("cls").agg(
-        F.count_if((F.col("actual_regime") == F.col("cls")) & (F.col("predicted_regime") == F.col("cls"))).alias("tp"),
-        F.count_if(F.col("predicted_regime") == F.col("cls")).alias("pred_n"),
-        F.count_if(F.col("actual_regime") == F.col("cls")).alias("support"),
-    )
+    a, b = F.col("actual_regime"), F.col("predicted_regime")
+    # One pass: per class tp / predicted / support counts; the explode runs on the one-row result.
+    cells = p.agg(*[F.struct(F.lit(c).alias("cls"),
+                             F.count_if((a == c) & (b == c)).alias("tp"),
+                             F.count_if(b == c).alias("pred_n"),
+                             F.count_if(a == c).alias("support")).alias(f"c{c}")
+                    for c in sorted(REGIME_LABELS)])
+    stats = cells.select(F.explode(F.array(*[F.col(f"c{c}") for c in sorted(REGIME_LABELS)])).alias("s")) \
+        .select("s.*")
     prec = F.when(F.col("pred_n") > 0, F.col("tp") / F.col("pred_n")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     cls_rows = stats.select(
@@ -115,11 +117,12 @@ def classification_report(predictions: DataFrame) -> DataFrame:
         (F.sum(F.col("f1") * F.col("support")) / tot).alias("wf"),
         tot.alias("n"),
     )
+
+    def row(label, p, r, f):
+        return F.struct(F.lit(label).alias("label"), F.col(p).alias("precision"), F.col(r).alias("recall"),
+                        F.col(f).alias("f1"), F.col("n").alias("support"))
     rows = summary.select(F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("label"), F.col("acc").alias("precision"), F.col("acc").alias("recall"),
-                 F.col("acc").alias("f1"), F.col("n").alias("support")),
-        F.struct(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf"), F.col("n")),
-        F.struct(F.lit("weighted avg"), F.col("wp"), F.col("wr"), F.col("wf"), F.col("n")),
+        row("accuracy", "acc", "acc", "acc"), row("macro avg", "mp", "mr", "mf"), row("weighted avg", "wp", "wr", "wf"),
     )).alias("r")).select("r.*")
     return cls_rows.select("label", "precision", "recall", "f1", "support").unionByName(rows)
 

@@ -265,6 +265,16 @@ def best_worst_sector(m: Market) -> DataFrame:
     return best.unionByName(worst).select("position", "sector", "avg_ytd_return_pct")
 
 
+def latest_kinds(m: Market, days_back: int = 365) -> DataFrame:
+    """A4 in its three forms: latest bar, first bar, latest bar on/before a date."""
+    cols = ["date", "adj_close"]
+    latest = latest_per_key(m.prices, cols=cols).withColumn("kind", F.lit("latest"))
+    first = latest_per_key(m.prices, cols=cols, earliest=True).withColumn("kind", F.lit("first"))
+    as_of = latest_per_key(m.prices, cols=cols, where=F.col("date") <= F.date_sub(_as_of(m), days_back)) \
+        .withColumn("kind", F.lit("as_of"))
+    return latest.unionByName(first).unionByName(as_of).select("ticker", "kind", "date", "adj_close")
+
+
 NAMED: dict[str, Callable[..., DataFrame]] = {
     "nifty_history": nifty_history,
     "sector_performance_ytd": sector_performance_ytd,

@@ -267,3 +267,16 @@ FRAGMENTS["ml_features_fwd"] = (
     ("prices_daily",))
 FEATURE_FLOATS = ("ret_1d", "ret_5d", "ret_20d", "vol_5d", "vol_20d", "bb_width", "atr_14",
                   "rsi_14", "macd", "macd_signal", "macd_diff", "volume_ratio", "abs_return_next")
+
+
+# --- portfolio parameters as literal relations -------------------------------------
+
+def _holdings_fragment() -> str:
+    from kestrel.sources.adapters import PERIODS, PORTFOLIOS
+    h = ", ".join(f"('{p}', '{t}', CAST({w!r} AS DOUBLE))" for p, items in PORTFOLIOS.items() for t, w in items)
+    r = ", ".join(f"('{p}', DATE '{s.isoformat()}', DATE '{e.isoformat()}')" for p, (s, e) in PERIODS.items())
+    return (f"holdings AS (SELECT * FROM (VALUES {h}) AS t(portfolio_id, ticker, weight)),\n"
+            f"periods AS (SELECT * FROM (VALUES {r}) AS t(portfolio_id, start_date, end_date))")
+
+
+FRAGMENTS["holdings"] = (_holdings_fragment(), ())
