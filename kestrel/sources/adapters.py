@@ -173,12 +173,12 @@ def raw_vendor_bars(spark: SparkSession, base: str) -> DataFrame:
 
 
 def raw_vendor_index(spark: SparkSession, base: str) -> DataFrame:
-    """Vendor-shaped index bars with two-level ('Close', '^NSEI')-style names flattened to 'Close_^IDX'."""
+    """Vendor-shaped index bars: two-level names flattened as ``'Close|^IDX'``, some null closes."""
     i = index_daily(spark, base)
     return i.select(
         F.to_timestamp("date").alias("Date"),
-        F.col("open").alias("Open_^IDX"), F.col("high").alias("High_^IDX"),
-        F.col("low").alias("Low_^IDX"),
-        F.when(F.dayofmonth("date") == 13, F.lit(None).cast("double")).otherwise(F.col("close")).alias("Close_^IDX"),
-        F.col("volume").alias("Volume_^IDX"),
+        F.col("open").alias("Open|^IDX"), F.col("high").alias("High|^IDX"),
+        F.col("low").alias("Low|^IDX"),
+        F.when(F.dayofmonth("date") == 13, F.lit(None).cast("double")).otherwise(F.col("close")).alias("Close|^IDX"),
+        F.col("volume").alias("Volume|^IDX"),
     )
