@@ -87,3 +87,10 @@ def confidence_bucket_right_closed(c: str | Column) -> Column:
     for edge, label in RIGHT_CLOSED_BUCKETS:
         out = out.when(c <= edge, label)
     return out
+
+
+def broadcast_if_small(df, max_rows: int = 2_000_000):
+    """Broadcast ``df`` only after counting it under ``max_rows``; otherwise leave the join
+    strategy to Catalyst/AQE (shuffle join, skew-join splitting). The count runs on the
+    small side only, before the big join is planned."""
+    return F.broadcast(df) if df.count() <= max_rows else df

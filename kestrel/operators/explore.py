@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +54,8 @@ def regime_counts(features: DataFrame) -> DataFrame:
 def feature_box_stats(features: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Quartiles, median, IQR whiskers (most extreme values within 1.5 IQR) per feature and regime."""
     cols = cols or BOX_FEATURES
-    long = _long(labelled(features), cols, ["regime"])
+    # Read by the quantile passes and the whisker pass: keep it for the duration.
+    long = _long(labelled(features), cols, ["regime"]).persist(StorageLevel.MEMORY_AND_DISK)
     q = exact_quantiles(long, ["feature", "regime"], "value", [0.25, 0.5, 0.75])
     wide = q.groupBy("feature", "regime").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("quantile"))).alias("q1"),
@@ -69,28 +71,42 @@ def feature_box_stats(features: DataFrame, cols: list[str] | None = None) -> Dat
         F.max(F.when(v <= F.col("hi_f"), v)).alias("whisker_hi"),
         F.count(F.lit(1)).alias("n"),
     )
-    return fences.join(whisk, ["feature", "regime"]).select(
-        "feature", "regime", "n", "q1", "median", "q3", "whisker_lo", "whisker_hi")
+    out = fences.join(whisk, ["feature", "regime"]).select(
+        "feature", "regime", "n", "q1", "median", "q3", "whisker_lo", "whisker_hi").checkpoint(eager=True)
+    long.unpersist()
+    return out
 
 
 def feature_correlation(features: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Pearson matrix of the features in ONE aggregation pass (pairwise-complete rows)."""
+    """Pearson matrix of the features: means, then centred cross-product sums.
+
+    The k-column projection is persisted for the two passes. Pass 2 is one
+    hash aggregation of k(k+1)/2 plain sums: few enough buffer fields to stay
+    inside whole-stage codegen (k(k+1)/2 ``covar_samp`` buffers would exceed
+    ``spark.sql.codegen.maxFields``) and numerically stable (centred two-pass
+    form). Both orders and the diagonal are unfolded from the one-row result,
+    which is checkpointed before the projection is released.
+    """
     cols = cols or HIST_FEATURES
-    df = labelled(features)
-    aggs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            xa, xb = F.when(both, F.col(a)), F.when(both, F.col(b))
-            den = F.stddev_samp(xa) * F.stddev_samp(xb)
-            aggs.append(F.when(den != 0, F.covar_samp(xa, xb) / den).alias(f"{a}|{b}"))
-    wide = df.agg(*aggs)
-    pairs = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"`{a}|{b}`").alias("r"))
-             for i, a in enumerate(cols) for b in cols[i:]]
-    tri = wide.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
-    mirror = tri.filter(F.col("feature_a") != F.col("feature_b")).select(
-        F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "r")
-    return tri.unionByName(mirror).withColumnRenamed("r", "correlation")
+    df = labelled(features).select(*cols).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    means = df.select(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
+    centred = df.select(*[(F.col(c) - means.getField(c)).alias(c) for c in cols])
+    sums = [F.count(F.lit(1)).alias("n")] + [
+        F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for i, a in enumerate(cols) for b in cols[i:]]
+    one = centred.agg(*sums)
+
+    def s_(a: str, b: str) -> F.Column:
+        i, j = sorted((cols.index(a), cols.index(b)))
+        return F.col(f"`{cols[i]}|{cols[j]}`")
+    pairs = []
+    for a in cols:
+        for b in cols:
+            den = F.sqrt(s_(a, a) * s_(b, b))
+            pairs.append(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                                  F.when((F.col("n") > 1) & (den != 0), s_(a, b) / den).alias("correlation")))
+    out = one.select(F.explode(F.array(*pairs)).alias("x")).select("x.*").checkpoint(eager=True)
+    df.unpersist()
+    return out
 
 
 def features_with_prices(features: DataFrame, prices: DataFrame) -> DataFrame:

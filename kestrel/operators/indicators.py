@@ -4,7 +4,9 @@ Plan shape: one Window stage (shuffle on ticker, sort on date) computes the
 lagged returns, rolling std/mean features and the target; the recursive
 indicators (Wilder ATR, RSI, MACD) run in ``applyInPandas`` grouped by
 ticker, which reuses the window's hash partitioning (no second shuffle);
-the per-ticker tertiles are window aggregates over the same partitioning.
+the per-ticker tertiles are window aggregates over the same partitioning,
+computed before the pandas step (its output attributes are new, so a window
+after it would shuffle again).
 A ticker group holds one row per trading day, so its size is bounded by the
 calendar (decades of history are a few thousand rows), never by data volume.
 
@@ -151,7 +153,9 @@ def add_regime(df: DataFrame, target: str = "abs_return_next", min_labelled: int
 
 def feature_frame(prices: DataFrame, forward_target: bool = False) -> DataFrame:
     """Every bar with all features, target and regime (before the null filter)."""
-    return add_regime(add_recursive_indicators(window_features(prices, forward_target)))
+    # Regime (window aggregate) before the pandas step: both reuse the ticker
+    # partitioning of the first window, so the whole pipeline has one shuffle.
+    return add_recursive_indicators(add_regime(window_features(prices, forward_target)))
 
 
 def ml_features(prices: DataFrame, forward_target: bool = False) -> DataFrame:

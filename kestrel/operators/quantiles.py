@@ -19,6 +19,7 @@ checkpointed each pass to keep lineage short.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +53,9 @@ def exact_quantiles(
     spark = df.sparkSession
     checkpoint_dir(spark)
     v = F.col(value)
-    data = df.select(*groups, v.alias("v")).filter(F.col("v").isNotNull())
+    # Several passes read the input: keep it (memory, spilling to disk) for the
+    # duration; a lost executor recomputes its blocks from lineage.
+    data = df.select(*groups, v.alias("v")).filter(F.col("v").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     stats = data.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
                                       F.max("v").alias("hi"))
     state = _targets(stats, probs).withColumn("below", F.lit(0).cast("bigint")) \
@@ -99,5 +102,9 @@ def exact_quantiles(
         F.max(F.when(F.col("which") == 1, F.col("x"))).alias("x1"),
         F.max("frac").alias("frac"),
     )
-    return out.select(*groups, "p",
-                      (F.col("x0") + F.col("frac") * (F.col("x1") - F.col("x0"))).alias("quantile"))
+    result = out.select(*groups, "p",
+                        (F.col("x0") + F.col("frac") * (F.col("x1") - F.col("x0"))).alias("quantile"))
+    # The answer is small (groups x probs): checkpoint it, then release the input.
+    result = result.checkpoint(eager=True)
+    data.unpersist()
+    return result

@@ -8,8 +8,8 @@
 
 Scale notes: nation (25 rows) and region (5 rows) are fixed-size TPC-H
 dimensions, so broadcasting them is bounded. supplier grows with the data, so
-its join is left to Catalyst/AQE, which broadcast only after measuring the
-side. The bar aggregation is a hash aggregate with a map-side partial step, so
+it is broadcast only after a count proves it small; beyond the bound the join
+is left to Catalyst/AQE (shuffle join with skew splitting). The bar aggregation is a hash aggregate with a map-side partial step, so
 a nation holding a third of all lineitem rows is collapsed before the shuffle.
 Because (ticker, date) is the grouping key, every later per-ticker window
 holds at most one row per calendar day of that ticker: its size is bounded
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kestrel.functions.exprs import broadcast_if_small
 from kestrel.sources.tables import read_table
 
 # Fixed parameter values shared with the oracle SQL.
@@ -85,6 +86,8 @@ def prices_daily(spark: SparkSession, base: str) -> DataFrame:
     nation = read_table(spark, base, "nation", ["n_nationkey", "n_name"])
     supp_nation = supplier.join(F.broadcast(nation), supplier.s_nationkey == nation.n_nationkey) \
         .select("s_suppkey", "n_name")
+    # supplier grows with the data: broadcast it only when its counted size is bounded.
+    supp_nation = broadcast_if_small(supp_nation)
     unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     # Unique tie-breaker for open/close inside one (ticker, day).
     k = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
