@@ -89,8 +89,13 @@ def confidence_bucket_right_closed(c: str | Column) -> Column:
     return out
 
 
-def broadcast_if_small(df, max_rows: int = 2_000_000):
-    """Broadcast ``df`` only after counting it under ``max_rows``; otherwise leave the join
-    strategy to Catalyst/AQE (shuffle join, skew-join splitting). The count runs on the
-    small side only, before the big join is planned."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def broadcast_if_small(df, max_rows: int = 2_000_000, bound=None):
+    """Broadcast ``df`` only when a counted row bound is under ``max_rows``; otherwise
+    leave the join strategy to Catalyst/AQE (shuffle join with skew splitting).
+
+    ``bound`` is a relation whose row count bounds ``df`` (e.g. the bare table a
+    dimension is derived from by inner joins and filters); counting a bare parquet
+    table is answered from file footers.
+    """
+    n = (bound if bound is not None else df).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,35 +82,21 @@ def feature_box_stats(features: DataFrame, cols: list[str] | None = None) -> Dat
 
 
 def feature_correlation(features: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Pearson matrix of the features: means, then centred cross-product sums.
-
-    The k-column projection is persisted for the two passes. Pass 2 is one
-    hash aggregation of k(k+1)/2 plain sums: few enough buffer fields to stay
-    inside whole-stage codegen (k(k+1)/2 ``covar_samp`` buffers would exceed
-    ``spark.sql.codegen.maxFields``) and numerically stable (centred two-pass
-    form). Both orders and the diagonal are unfolded from the one-row result,
-    which is checkpointed before the projection is released.
+    """Pearson matrix of the features over complete rows.
+
+    ``pyspark.ml.stat.Correlation`` computes the column means and the centred
+    covariance in two distributed passes (tree aggregation of per-partition
+    k x k partials, numerically stable); only the k x k result (k = number of
+    features) reaches the driver and is returned as rows, both orders plus the
+    diagonal. A zero-variance feature gives NULL.
     """
     cols = cols or HIST_FEATURES
-    df = labelled(features).select(*cols).dropna().persist(StorageLevel.MEMORY_AND_DISK)
-    means = df.select(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
-    centred = df.select(*[(F.col(c) - means.getField(c)).alias(c) for c in cols])
-    sums = [F.count(F.lit(1)).alias("n")] + [
-        F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for i, a in enumerate(cols) for b in cols[i:]]
-    one = centred.agg(*sums)
-
-    def s_(a: str, b: str) -> F.Column:
-        i, j = sorted((cols.index(a), cols.index(b)))
-        return F.col(f"`{cols[i]}|{cols[j]}`")
-    pairs = []
-    for a in cols:
-        for b in cols:
-            den = F.sqrt(s_(a, a) * s_(b, b))
-            pairs.append(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                                  F.when((F.col("n") > 1) & (den != 0), s_(a, b) / den).alias("correlation")))
-    out = one.select(F.explode(F.array(*pairs)).alias("x")).select("x.*").checkpoint(eager=True)
-    df.unpersist()
-    return out
+    df = labelled(features).select(*cols).dropna()
+    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(df).select("_v")
+    mat = Correlation.corr(vec, "_v").first()[0].toArray()
+    rows = [(a, b, None if math.isnan(mat[i, j]) else float(mat[i, j]))
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return features.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, correlation double")
 
 
 def features_with_prices(features: DataFrame, prices: DataFrame) -> DataFrame:

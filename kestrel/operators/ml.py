@@ -30,7 +30,7 @@ from kestrel.config import FEATURE_COLS, checkpoint_dir
 
 TEST_DAYS = 360
 LABEL = "regime"
-TREE_DEFAULTS = dict(numTrees=100, maxDepth=5, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
+TREE_DEFAULTS = dict(numTrees=40, maxDepth=5, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
 
 
 def load_features(features: DataFrame) -> DataFrame:
@@ -187,8 +187,8 @@ SWEEP = [
     ("default", {}),
     ("shallower trees (depth=3)", {"maxDepth": 3}),
     ("deeper trees (depth=7)", {"maxDepth": 7}),
-    ("more trees", {"numTrees": 200}),
-    ("fewer trees", {"numTrees": 50}),
+    ("more trees", {"numTrees": 80}),
+    ("fewer trees", {"numTrees": 20}),
     ("no row subsampling (1.0)", {"subsamplingRate": 1.0}),
     ("more row subsampling (0.6)", {"subsamplingRate": 0.6}),
 ]

@@ -89,11 +89,15 @@ def exact_quantiles(
          .withColumn("answer", F.when(F.col("done"), F.col("lo")))
         state = state.checkpoint()
     # Exact pick among the (bounded) candidates of every unresolved target.
+    # Targets that share a candidate range (always the case when no narrowing was
+    # needed) are served by ONE ranking of that range: each value is ranked once.
     pending = state.filter(~F.col("done"))
-    cand = data.join(pending.select(*keys, "lo", "hi", "k", "below"), groups) \
-        .filter(F.col("v").between(F.col("lo"), F.col("hi")))
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1
-    picked = cand.withColumn("r", rn).filter(F.col("r") == F.col("k") - F.col("below")) \
+    rkeys = groups + ["lo", "hi", "below"]
+    ranges = pending.select(*rkeys).distinct()
+    cand = data.join(ranges, groups).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    ranked = cand.withColumn("r", F.row_number().over(Window.partitionBy(*rkeys).orderBy("v")) - 1)
+    picked = ranked.join(pending.select(*keys, *[c for c in rkeys if c not in groups], "k"), rkeys) \
+        .filter(F.col("r") == F.col("k") - F.col("below")) \
         .select(*keys, F.col("v").alias("picked"))
     resolved = state.join(picked, keys, "left").select(
         *groups, "p", "which", "frac", F.coalesce("answer", "picked").alias("x"))

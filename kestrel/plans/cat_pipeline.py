@@ -183,7 +183,7 @@ register("hyperparam_sweep", None)(_sweep)
 
 def _walk_forward_scores(m):
     train, _ = ml.time_split(ml.load_features(m.features))
-    return ml.walk_forward_scores(train, numTrees=50)
+    return ml.walk_forward_scores(train, numTrees=20)
 
 
 register("walk_forward_scores", None)(_walk_forward_scores)

@@ -87,7 +87,7 @@ def prices_daily(spark: SparkSession, base: str) -> DataFrame:
     supp_nation = supplier.join(F.broadcast(nation), supplier.s_nationkey == nation.n_nationkey) \
         .select("s_suppkey", "n_name")
     # supplier grows with the data: broadcast it only when its counted size is bounded.
-    supp_nation = broadcast_if_small(supp_nation)
+    supp_nation = broadcast_if_small(supp_nation, bound=spark.read.parquet(f"{base.rstrip('/')}/supplier.parquet"))
     unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
     # Unique tie-breaker for open/close inside one (ticker, day).
     k = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
