@@ -92,8 +92,11 @@ def feature_correlation(features: DataFrame, cols: list[str] | None = None) -> D
     """
     cols = cols or HIST_FEATURES
     df = labelled(features).select(*cols).dropna()
-    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(df).select("_v")
+    # Two passes read the vectors: keep them for the duration (lost blocks recompute).
+    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(df).select("_v") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     mat = Correlation.corr(vec, "_v").first()[0].toArray()
+    vec.unpersist()
     rows = [(a, b, None if math.isnan(mat[i, j]) else float(mat[i, j]))
             for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return features.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, correlation double")
