@@ -42,7 +42,7 @@ def _change_pct(then: str = "price_then", now: str = "price_now") -> F.Column:
     return safe_ratio(F.col(now) - F.col(then), F.col(then)) * 100
 
 
-def nifty_history(m: Market, years_back: int = 5) -> DataFrame:
+def index_history(m: Market, years_back: int = 5) -> DataFrame:
     start = F.add_months(_index_as_of(m), -12 * years_back)
     return m.index.filter((F.col("date") >= start) & (F.col("date") <= _index_as_of(m))) \
         .select("date", "close")
@@ -241,7 +241,7 @@ def index_cumulative(m: Market, years: int = 3) -> DataFrame:
 
 def index_kpis(m: Market) -> DataFrame:
     """Latest close, YTD (vs first bar of the latest bar's year) and 1-year change, one row."""
-    hist = nifty_history(m, 5)
+    hist = index_history(m, 5)
     latest = hist.select(F.max("date")).scalar()
     d = F.col("date")
     k = hist.agg(
@@ -276,7 +276,7 @@ def latest_kinds(m: Market, days_back: int = 365) -> DataFrame:
 
 
 NAMED: dict[str, Callable[..., DataFrame]] = {
-    "nifty_history": nifty_history,
+    "index_history": index_history,
     "sector_performance_ytd": sector_performance_ytd,
     "top_gainers": top_gainers,
     "top_losers": top_losers,
