@@ -169,8 +169,8 @@ def q(uses: tuple[str, ...], body: str, rnd: tuple[str, ...] = ()) -> str:
         sql = (("WITH " + ",\n".join(frags) + "\n") if frags else "") + body
     if rnd:
         repl = ", ".join(
-            f"CASE WHEN abs({c}) < 1e9 THEN floor({c} * CAST(1e6 AS DOUBLE) + 0.5) / CAST(1e6 AS DOUBLE)"
-            f" ELSE {c} END AS {c}" for c in rnd)
+            f"floor(least(greatest({c} * CAST(1e6 AS DOUBLE) + 0.5, CAST(-9e18 AS DOUBLE)), CAST(9e18 AS DOUBLE)))"
+            f" / CAST(1e6 AS DOUBLE) AS {c}" for c in rnd)
         sql = f"SELECT * REPLACE ({repl}) FROM (\n{sql}\n) AS _o"
     return sql
 

@@ -42,7 +42,9 @@ def snap(c: F.Column) -> F.Column:
     the shortest decimal string, DuckDB multiplies first); this form gives
     the same double in both. The oracle SQL uses the identical expression.
     """
-    return F.when(F.abs(c) < 1e9, F.floor(c * 1e6 + 0.5) / 1e6).otherwise(c)
+    # One reference to ``c`` (clamped, not branched) so CollapseProject can merge this
+    # projection into the query's own and top-k plans stay TakeOrderedAndProject.
+    return F.floor(F.least(F.greatest(c * 1e6 + 0.5, F.lit(-9e18)), F.lit(9e18))) / 1e6
 
 
 def finish(df: DataFrame) -> DataFrame:
