@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kestrel.sources import adapters
 
+BAR_SOURCES = ("lineitem", "supplier", "nation")
+
 
 class Market:
     """Lazily built relations (plans, not data) for one dataset.
@@ -31,7 +33,10 @@ class Market:
 
     @cached_property
     def prices(self) -> DataFrame:
-        return adapters.prices_daily(self.spark, self.base)
+        """The bar fact table: derived once per dataset, stored bucketed by ticker (see store.py)."""
+        from kestrel.sources.store import stored
+        return stored(self.spark, "bars", self.base, BAR_SOURCES,
+                      lambda: adapters.prices_daily(self.spark, self.base))
 
     @cached_property
     def index(self) -> DataFrame:
@@ -81,5 +86,7 @@ class Market:
 
     @cached_property
     def features(self) -> DataFrame:
+        """The feature table (X10), stored bucketed by ticker like the bars."""
         from kestrel.operators.indicators import ml_features
-        return ml_features(self.prices)
+        from kestrel.sources.store import stored
+        return stored(self.spark, "features", self.base, BAR_SOURCES, lambda: ml_features(self.prices))
