@@ -76,7 +76,9 @@ def feature_box_stats(features: DataFrame, cols: list[str] | None = None) -> Dat
         F.count(F.lit(1)).alias("n"),
     )
     out = fences.join(whisk, ["feature", "regime"]).select(
-        "feature", "regime", "n", "q1", "median", "q3", "whisker_lo", "whisker_hi").checkpoint(eager=True)
+        "feature", "regime", "n", "q1", "median", "q3", "whisker_lo", "whisker_hi") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()          # small answer materialised once before the input is released
     long.unpersist()
     return out
 

@@ -14,7 +14,8 @@ iterative histogram narrowing instead:
   distinct value), the exact rank is picked among those candidates only.
 
 The per-target state (one row per group and target rank) is small and is
-checkpointed each pass to keep lineage short.
+checkpointed to the shared checkpoint folder after every narrowing pass, so
+lineage stays short however many passes run.
 """
 
 from __future__ import annotations
@@ -63,7 +64,6 @@ def exact_quantiles(
         .withColumn("answer", F.when(F.col("lo") == F.col("hi"), F.col("lo"))) \
         .withColumn("cnt", F.col("n"))
     keys = groups + ["p", "which"]
-    state = state.checkpoint()
     for _ in range(max_passes):
         open_ = state.filter(~F.col("done") & (F.col("cnt") > max_candidates))
         if open_.isEmpty():
@@ -108,7 +108,9 @@ def exact_quantiles(
     )
     result = out.select(*groups, "p",
                         (F.col("x0") + F.col("frac") * (F.col("x1") - F.col("x0"))).alias("quantile"))
-    # The answer is small (groups x probs): checkpoint it, then release the input.
-    result = result.checkpoint(eager=True)
+    # The answer is small (groups x probs): materialise it once, then release the input
+    # (a lost block of the answer recomputes from lineage, i.e. from the source).
+    result = result.persist(StorageLevel.MEMORY_AND_DISK)
+    result.count()
     data.unpersist()
     return result

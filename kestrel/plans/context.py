@@ -76,7 +76,9 @@ class Market:
 
     def correlation(self, min_overlap: int = adapters.MIN_OVERLAP) -> DataFrame:
         from kestrel.operators.correlation import correlation_matrix
-        n = self.stocks.count()  # 25-row dimension: sizes the block grid without a pass over the facts
+        # Upper bound on the ticker count from parquet footers (stocks is nation inner-joined
+        # with region): sizes the block grid without a pass over the facts.
+        n = self.spark.read.parquet(f"{self.base.rstrip('/')}/nation.parquet").count()
         return correlation_matrix(self.returns, as_of=self.as_of, min_overlap=min_overlap, n_tickers=n)
 
     @cached_property
