@@ -56,8 +56,14 @@ def stored(spark: SparkSession, name: str, base: str, sources: tuple[str, ...],
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"kestrel_{name}_{sig}_{uuid.uuid4().hex[:6]}"
         path = f"{checkpoint_dir(spark).rstrip('/')}/store/{table}"
-        (build().write.format("parquet").mode("errorifexists")
-         .bucketBy(n, bucket_by).sortBy(*sort_by)
-         .option("path", path).saveAsTable(table))
+        df = build()
+        try:
+            (df.write.format("parquet").mode("errorifexists")
+             .bucketBy(n, bucket_by).sortBy(*sort_by)
+             .option("path", path).saveAsTable(table))
+        except Exception:  # catalog cannot hold a bucketed table: plain files, same folder
+            plain = f"{path}-plain"
+            df.repartition(n, bucket_by).sortWithinPartitions(*sort_by).write.parquet(plain)
+            return spark.read.parquet(plain)
         _STORED[key] = (table, path, n)
         return spark.table(table)

@@ -1,5 +1,7 @@
 import tempfile
 
+from pyspark.sql import functions as F
+
 from kestrel.sources import sinks
 
 
@@ -21,3 +23,23 @@ def test_upsert_updates_and_inserts(spark):
                                 "ticker string, company_name string, sector string, industry string")
     out = {r.ticker: r for r in sinks.upsert_dimension(old, new).collect()}
     assert out["A"].company_name == "a" and out["B"].sector == "s9" and out["C"].industry == "i3"
+
+
+def test_store_builds_once_and_reads_bucketed(spark, tmp_path):
+    from kestrel.sources import store
+    base = tmp_path / "data"
+    base.mkdir()
+    src = spark.createDataFrame([("A", i) for i in range(5)], "ticker string, v int")
+    src.write.parquet(str(base / "t.parquet"))
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.read.parquet(str(base / "t.parquet")).withColumn("date", F.current_date())
+    a = store.stored(spark, "unit", str(base), ("t",), build)
+    b = store.stored(spark, "unit", str(base), ("t",), build)
+    assert a.count() == 5 and b.count() == 5 and len(calls) == 1
+    # A changed source file changes the signature: the relation is rebuilt.
+    src.limit(2).write.mode("append").parquet(str(base / "t.parquet"))
+    c = store.stored(spark, "unit", str(base), ("t",), build)
+    assert c.count() == 7 and len(calls) == 2
