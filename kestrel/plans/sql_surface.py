@@ -1,7 +1,7 @@
 """SQL surface: the relations as temp views and the portfolio functions as SQL table functions.
 
     m = register_sql(spark, "/data/sf1")
-    spark.sql("SELECT * FROM highest_vol WHERE ...")
+    spark.sql("SELECT ticker, vol_20d FROM rolling_volatility WHERE date = DATE'2024-06-28'")
     spark.sql("SELECT * FROM portfolio_metrics(array('A','B'), array(0.6D,0.4D), DATE'2024-01-01', DATE'2024-12-31')")
     spark.sql("SELECT date, adj_close FROM prices_daily WHERE ticker = :t ORDER BY date", args={"t": "A"})
 

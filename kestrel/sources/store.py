@@ -28,11 +28,16 @@ _LOCK = threading.RLock()  # re-entrant: building one stored relation may read a
 _STORED: dict[tuple, tuple[str, str, int]] = {}   # key -> (table name, path, buckets)
 
 
-def source_signature(spark: SparkSession, base: str, tables: tuple[str, ...]) -> str:
-    """Hash of (path, length, mtime) of every file of the given parquet tables."""
+BYTES_PER_BUCKET = 4 << 30      # one bucket per 4 GiB of source data ...
+MAX_BUCKETS = 8192              # ... within a cap
+
+
+def source_signature(spark: SparkSession, base: str, tables: tuple[str, ...]) -> tuple[str, int]:
+    """Hash of (path, length, mtime) of every file of the given parquet tables, and their total bytes."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     parts = []
+    total = 0
     for t in tables:
         p = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{t}.parquet")
         fs = p.getFileSystem(conf)
@@ -40,30 +45,34 @@ def source_signature(spark: SparkSession, base: str, tables: tuple[str, ...]) ->
         while it.hasNext():
             st = it.next()
             parts.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
-    return hashlib.sha1("\n".join(sorted(parts)).encode()).hexdigest()[:16]
+            total += st.getLen()
+    return hashlib.sha1("\n".join(sorted(parts)).encode()).hexdigest()[:16], total
 
 
 def stored(spark: SparkSession, name: str, base: str, sources: tuple[str, ...],
            build: Callable[[], DataFrame], bucket_by: str = "ticker", sort_by: tuple[str, ...] = ("ticker", "date"),
            buckets: int | None = None) -> DataFrame:
     """The relation ``build()`` stored bucketed by ``bucket_by``; built at most once per source state."""
-    sig = source_signature(spark, base, sources)
+    sig, source_bytes = source_signature(spark, base, sources)
     key = (name, base.rstrip("/"), sig)
     with _LOCK:
         hit = _STORED.get(key)
         if hit is not None and spark.catalog.tableExists(hit[0]):
             return spark.table(hit[0])
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                           min(MAX_BUCKETS, -(-source_bytes // BYTES_PER_BUCKET)))
         table = f"kestrel_{name}_{sig}_{uuid.uuid4().hex[:6]}"
         path = f"{checkpoint_dir(spark).rstrip('/')}/store/{table}"
-        df = build()
+        # Repartition on the bucket column first: each write task then holds exactly one
+        # bucket, so the table has one file per bucket instead of tasks x buckets files.
+        df = build().repartition(n, bucket_by)
         try:
             (df.write.format("parquet").mode("errorifexists")
              .bucketBy(n, bucket_by).sortBy(*sort_by)
              .option("path", path).saveAsTable(table))
         except Exception:  # catalog cannot hold a bucketed table: plain files, same folder
             plain = f"{path}-plain"
-            df.repartition(n, bucket_by).sortWithinPartitions(*sort_by).write.parquet(plain)
+            df.sortWithinPartitions(*sort_by).write.parquet(plain)
             return spark.read.parquet(plain)
         _STORED[key] = (table, path, n)
         return spark.table(table)
