@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from kestrel.operators.returns import month_end, returns_monthly
 from kestrel.plans import named as N
 from kestrel.plans.oracle import AS_OF, INDEX_AS_OF, TICKER, q

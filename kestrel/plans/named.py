@@ -11,7 +11,6 @@ first k rows are deterministic.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame

@@ -2,7 +2,6 @@ import datetime as dt
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import bars, series_dates
 from kestrel.operators import portfolio as pf
