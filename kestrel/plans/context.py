@@ -6,6 +6,7 @@ import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kestrel.sources import adapters
 
@@ -46,13 +47,19 @@ class Market:
     def predictions(self) -> DataFrame:
         return adapters.predictions_from_bars(self.prices)
 
+    @cached_property
+    def derived_holdings(self) -> DataFrame:
+        return adapters.sector_volume_holdings(self.prices, self.stocks)
+
     @cached_property
     def holdings(self) -> DataFrame:
-        return adapters.holdings(self.spark)
+        """Fixed parameter portfolios plus one volume-weighted portfolio per sector from the data."""
+        return adapters.holdings(self.spark).unionByName(self.derived_holdings)
 
     @cached_property
     def periods(self) -> DataFrame:
-        return adapters.periods(self.spark)
+        as_of = self.as_of if self.as_of is not None else self.prices.select(F.max("date")).scalar()
+        return adapters.periods(self.spark).unionByName(adapters.derived_periods(self.derived_holdings, as_of))
 
     @cached_property
     def returns(self) -> DataFrame:

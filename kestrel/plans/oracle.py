@@ -275,8 +275,15 @@ def _holdings_fragment() -> str:
     from kestrel.sources.adapters import PERIODS, PORTFOLIOS
     h = ", ".join(f"('{p}', '{t}', CAST({w!r} AS DOUBLE))" for p, items in PORTFOLIOS.items() for t, w in items)
     r = ", ".join(f"('{p}', DATE '{s.isoformat()}', DATE '{e.isoformat()}')" for p, (s, e) in PERIODS.items())
-    return (f"holdings AS (SELECT * FROM (VALUES {h}) AS t(portfolio_id, ticker, weight)),\n"
-            f"periods AS (SELECT * FROM (VALUES {r}) AS t(portfolio_id, start_date, end_date))")
-
-
-FRAGMENTS["holdings"] = (_holdings_fragment(), ())
+    return (f"fixed_holdings AS (SELECT * FROM (VALUES {h}) AS t(portfolio_id, ticker, weight)),\n"
+            f"fixed_periods AS (SELECT * FROM (VALUES {r}) AS t(portfolio_id, start_date, end_date)),\n"
+            f"""vol_holdings AS (
+  SELECT 'vol_' || s.sector AS portfolio_id, v.ticker, v.vol / sum(v.vol) OVER (PARTITION BY s.sector) AS weight
+  FROM (SELECT ticker, CAST(sum(volume) AS DOUBLE) AS vol FROM prices_daily GROUP BY ticker) v
+  JOIN stocks s ON s.ticker = v.ticker),
+holdings AS (SELECT * FROM fixed_holdings UNION ALL SELECT * FROM vol_holdings),
+periods AS (SELECT * FROM fixed_periods UNION ALL
+            SELECT DISTINCT portfolio_id, CAST({AS_OF} - INTERVAL 1 YEAR AS DATE), {AS_OF} FROM vol_holdings)""")
+
+
+FRAGMENTS["holdings"] = (_holdings_fragment(), ("prices_daily", "stocks"))

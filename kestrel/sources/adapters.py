@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,6 +187,24 @@ def periods(spark: SparkSession, ranges: dict | None = None) -> DataFrame:
     return spark.createDataFrame([(pid, s, e) for pid, (s, e) in ranges.items()], PERIODS_SCHEMA)
 
 
+def sector_volume_holdings(prices: DataFrame, stocks: DataFrame) -> DataFrame:
+    """One portfolio per sector (``vol_<sector>``) holding each ticker in proportion to its
+    total traded volume: portfolio parameters derived from the data, so the portfolio
+    operators' work grows with it. Volumes are integers, so the shares are exact."""
+    vol = prices.groupBy("ticker").agg(F.sum("volume").cast("double").alias("vol"))
+    j = vol.join(stocks.select("ticker", "sector"), "ticker")
+    share = F.col("vol") / F.sum("vol").over(Window.partitionBy("sector"))  # a few tickers per sector
+    return j.select(F.concat(F.lit("vol_"), F.col("sector")).alias("portfolio_id"), "ticker",
+                    share.alias("weight"))
+
+
+def derived_periods(holdings: DataFrame, as_of) -> DataFrame:
+    """The trailing year up to ``as_of`` for every data-derived portfolio."""
+    end = F.lit(as_of) if isinstance(as_of, dt.date) else as_of
+    return holdings.select("portfolio_id").distinct().select(
+        "portfolio_id", F.add_months(end, -12).alias("start_date"), end.alias("end_date"))
+
+
 def raw_vendor_bars(spark: SparkSession, base: str) -> DataFrame:
     """Vendor-shaped bars (capitalised names, timestamp index, some null closes)."""
     p = prices_daily(spark, base)
