@@ -8,11 +8,12 @@ Here the matrix is computed as blocked co-moments instead:
    a ticker holds at most ``window_days + 1`` values (one per calendar day);
 2. hash tickers into ``nb = ceil(T / block_size)`` blocks and route every row
    to the ``nb`` block pairs it takes part in (replication nb, like a
-   distributed block-matrix product);
+   distributed block-matrix product; the shuffle is proportional to the T^2
+   output, larger blocks trade replication for task size);
 3. ``applyInPandas`` per block pair builds two dense (tickers x days) matrices
    with masks and gets every pairwise overlap count and co-moment by six
    matrix products; a task holds at most ``2 * block_size * (window_days+1)``
-   values whatever the data size.
+   values and emits at most ``2 * block_size^2`` pairs, whatever the data size.
 
 Each ticker is centred on its own window mean first (exact for covariance,
 better conditioned). A constant series gives NULL, like
@@ -78,8 +79,8 @@ def _pair_moments(n_days: int, min_overlap: int):
         if len(pdf) and pdf["bi"].iloc[0] != pdf["bj"].iloc[0]:
             mirror = out.rename(columns={"ticker_a": "ticker_b", "ticker_b": "ticker_a"})
             out = pd.concat([out, mirror[out.columns]], ignore_index=True)
-        out["correlation"] = out["correlation"].astype("float64")
-        return out.replace({np.nan: None}) if out["correlation"].isna().any() else out
+        out["correlation"] = out["correlation"].astype("float64")   # NaN arrives as NULL via Arrow
+        return out
     return fn
 
 
@@ -88,7 +89,7 @@ def correlation_matrix(
     as_of: dt.date | None = None,
     window_days: int = 365,
     min_overlap: int = 180,
-    block_size: int = 256,
+    block_size: int = 512,
     n_tickers: int | None = None,
 ) -> DataFrame:
     """ticker_a, ticker_b, correlation, n_overlap_days: both orders plus the diagonal."""
