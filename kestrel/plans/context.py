@@ -49,7 +49,11 @@ class Market:
 
     @cached_property
     def derived_holdings(self) -> DataFrame:
-        return adapters.sector_volume_holdings(self.prices, self.stocks)
+        """Read three times by the portfolio plans; one row per ticker, so it is materialised
+        once (identical plans share one cache entry) and joins see its measured size."""
+        df = adapters.sector_volume_holdings(self.prices, self.stocks).persist()
+        df.count()
+        return df
 
     @cached_property
     def holdings(self) -> DataFrame:
