@@ -33,3 +33,12 @@ def test_query_by_name_unknown_lists_names(spark):
     with pytest.raises(N.UnknownQuery) as e:
         N.query_by_name(None, "no_such_query")
     assert "top_gainers" in str(e.value)
+
+
+def test_named_queries_with_latest_date(spark):
+    """as_of=None: every named query resolves "today" as the latest date inside its plan."""
+    from conftest import SF_SMALL
+    from kestrel.plans.context import Market
+    m = Market(spark, SF_SMALL, as_of=None, index_as_of=None)
+    for name, fn in N.NAMED.items():
+        assert fn(m).count() >= 0, name
