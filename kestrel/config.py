@@ -91,4 +91,27 @@ def local_session(app: str = "kestrel", cores: str = "*", partitions: int = 8) -
     )
     spark.sparkContext.setLogLevel("ERROR")
     apply_runtime_defaults(spark)
+    ship_package(spark)
     return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kestrel`` importable in Python workers (grouped pandas functions pickle by
+    module reference): zip the package once per application and ``addPyFile`` it, which
+    Spark distributes to every executor."""
+    import zipfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="kestrel-pyfiles-")) / "kestrel.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in pkg.rglob("*.py"):
+            z.write(f, f.relative_to(pkg.parent).as_posix())
+    spark.sparkContext.addPyFile(str(out))
+    _SHIPPED.add(app)

@@ -59,6 +59,8 @@ def spark_callable(key: str) -> Callable[[SparkSession, str], DataFrame]:
     entry = REGISTRY[key]
 
     def run(spark: SparkSession, base_dir: str) -> DataFrame:
+        from kestrel.config import ship_package
+        ship_package(spark)   # Python workers import kestrel wherever the driver runs
         return finish(entry.fn(Market(spark, base_dir)))
     run.__name__ = key
     return run

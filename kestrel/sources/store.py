@@ -59,7 +59,8 @@ def stored(spark: SparkSession, name: str, base: str, sources: tuple[str, ...],
         hit = _STORED.get(key)
         if hit is not None and spark.catalog.tableExists(hit[0]):
             return spark.table(hit[0])
-        n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+        # At least one bucket per core of the cluster, more as the source grows.
+        n = buckets or max(spark.sparkContext.defaultParallelism,
                            min(MAX_BUCKETS, -(-source_bytes // BYTES_PER_BUCKET)))
         table = f"kestrel_{name}_{sig}_{uuid.uuid4().hex[:6]}"
         path = f"{checkpoint_dir(spark).rstrip('/')}/store/{table}"
