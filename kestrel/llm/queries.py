@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kestrel.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from kestrel.llm.language_id import op5_language_id
 from kestrel.llm.line_dedup import OP4_SQL, op4_line_dedup
+from kestrel.llm.sentencepiece_codec import op10_sentencepiece
 from kestrel.llm.simhash import op8_simhash
+from kestrel.llm.token_counts import op2_token_counts
+from kestrel.llm.token_files import op6_token_files
+from kestrel.llm.topk import OP3_SQL, op3_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_line_dedup, op7_exact_dedup, op8_simhash)}
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL}
+    f.__name__: f for f in (
+        op2_token_counts, op3_top_k, op4_line_dedup, op5_language_id, op6_token_files, op7_exact_dedup,
+        op8_simhash, op10_sentencepiece)}
+ORACLE_SQL = {"op3_top_k": OP3_SQL, "op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL}
