@@ -36,6 +36,13 @@ def store(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_n_chars(docs: DataFrame) -> DataFrame:
+    """``n_chars`` recomputed from ``text``, where there is such a column."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, every other character unchanged (``lower`` is exact for pure ASCII strings)."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
