@@ -33,7 +33,7 @@ OFFSETS = (0, 1 << CLASS_BITS, (1 << CLASS_BITS) + (1 << 2 * CLASS_BITS))
 UNIVERSE = OFFSETS[2] + (1 << 3 * CLASS_BITS)
 ROWS_PER_PRODUCT = 32
 UND = "und"
-MIN_SCORE = 0.4
+MIN_SCORE = 0.25
 
 
 @lru_cache(maxsize=1)

@@ -66,9 +66,18 @@ class LineIndex:
                 self.spark.sql(f"DROP TABLE {old}")
 
     def _merged(self, runs: list[str]) -> DataFrame:
-        both = reduce(DataFrame.unionByName, [self.spark.table(r) for r in runs])
-        return both.groupBy("h", "g").agg(F.sum("n_docs").alias("n_docs"), F.max("first").alias("first"),
-                                          F.max("keeper").alias("keeper"))
+        """Merge of sorted runs: full outer sort-merge joins on their common buckets."""
+        out = self.spark.table(runs[0])
+        for r in runs[1:]:
+            a, b = out.alias("a"), self.spark.table(r).alias("b")
+            key = [F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in ("h", "g")]
+            n_docs = F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))
+            both = a.join(b.hint("merge"), (F.col("a.h") == F.col("b.h")) & (F.col("a.g") == F.col("b.g")), "full_outer")
+            out = both.select(
+                *key, n_docs.alias("n_docs"),
+                (F.coalesce("a.first", F.lit(False)) | F.coalesce("b.first", F.lit(False))).alias("first"),
+                F.coalesce("a.keeper", "b.keeper").alias("keeper"))
+        return out
 
     def runs(self) -> list[str]:
         return [r for level in self.levels for r in level]

@@ -140,7 +140,10 @@ def rewritings(s: str, kind: int) -> list[str]:
     """Other writings of a base span."""
     if kind == 0:
         user, domain = s.rsplit("@", 1)
-        return [f"{user} at {domain.replace('.', ' dot ')}", f"{user}(at){domain.replace('.', '(dot)')}",
+        plain = re.sub("[^A-Za-z]", "", user) or "x"
+        letters = re.sub("[0-9]", "", domain)
+        return [f"{plain} at {letters.replace('.', ' dot ')}", f"{plain}(at){letters.replace('.', '(dot)')}",
+                f"{user} at {domain.replace('.', ' dot ')}", f"{user}(at){domain.replace('.', '(dot)')}",
                 f"{user} [at] {domain.replace('.', ' [dot] ')}", f"{user}@{domain.replace('.', '[.]')}"]
     if kind == 1:
         return [s.replace(".", "[.]"), s.replace(".", " . "), s.replace(".", "(.)")]

@@ -103,16 +103,16 @@ def _forest(fp: np.ndarray, start: int, max_bits: int) -> tuple[np.ndarray, np.n
     return np.concatenate([none, *roots]), np.concatenate([none, *members])
 
 
-def _links_in_groups(max_bits: int):
+def _links_in_groups(max_bits: int, limit: int):
     """Rows sorted by group (start, seg, p, q), a group never split over tasks: its links."""
     def emit(key: np.ndarray, start: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
         size = np.diff(np.r_[edge, len(key)])
         a, b = [], []
-        small = np.repeat(size <= SMALL_GROUP, size)
+        small = np.repeat(size <= limit, size)
         group = np.repeat(np.arange(len(edge)), size)
         g, f, s = group[small], fp[small], start[small]
-        for d in range(1, SMALL_GROUP):
+        for d in range(1, limit):
             if d >= len(g):
                 break
             same = np.flatnonzero(g[d:] == g[:-d])
@@ -121,7 +121,7 @@ def _links_in_groups(max_bits: int):
             hit = same[_linked(f[same], f[same + d], s[same], max_bits)]
             a.append(f[hit])
             b.append(f[hit + d])
-        for i in np.flatnonzero(size > SMALL_GROUP):
+        for i in np.flatnonzero(size > limit):
             r, m = _forest(fp[edge[i]:edge[i] + size[i]], int(start[edge[i]]), max_bits)
             a.append(r)
             b.append(m)
@@ -148,7 +148,7 @@ def _links_in_groups(max_bits: int):
     return run
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, small: int = SMALL_GROUP) -> DataFrame:
     """(u, v) links that connect whatever is within ``max_bits``; ``fps`` holds distinct ``fp``."""
     if max_bits >= SEGMENTS:
         raise ValueError("the bucket key needs an error-free first segment: max_bits < SEGMENTS")
@@ -156,8 +156,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
            for i in range(SEGMENTS)]
     keyed = fps.select("fp", F.posexplode(F.array(*seg)).alias("start", "seg"))
     # At most SEGMENTS * 2**SEGMENT_BITS keys exist, however many fingerprints.
-    blocks = (keyed.groupBy("start", "seg").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
-              .select("start", "seg", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    blocks = (keyed.groupBy("start", "seg").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+              .select("start", "seg", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     split = keyed.join(F.broadcast(blocks), ["start", "seg"], "left")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).otherwise(
@@ -167,7 +167,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     order = ["start", "seg", "p", "q"]
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = (rows.repartition(n, *order).sortWithinPartitions(*order)
-             .mapInArrow(_links_in_groups(max_bits), "u long, v long"))
+             .mapInArrow(_links_in_groups(max_bits, small), "u long, v long"))
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 

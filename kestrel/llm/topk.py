@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrel.config import ship_package
+from kestrel.llm.common import prepare
 
 K, QUERY_STEP, SCALE = 5, 50, 256.0
 SHARD_ROWS, LEAST_SHARDS, QUERY_ROWS = 4096, 32, 2048
@@ -130,7 +130,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     rows = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     queries = rows.filter(F.col("vec_id") % QUERY_STEP == 0).groupBy(F.col("vec_id").alias("query_id")).agg(
         F.min("v").alias("v"))
