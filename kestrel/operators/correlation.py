@@ -6,7 +6,7 @@ Here the matrix is computed as blocked co-moments instead:
 
 1. keep the trailing window (``as_of - window_days .. as_of``), non-null returns;
    a ticker holds at most ``window_days + 1`` values (one per calendar day);
-2. hash tickers into ``nb = ceil(T / block_size)`` blocks and route every row
+2. hash tickers into ``nb = ceil(T / block_size)`` (at least ``LEAST_BLOCKS``) blocks and route every row
    to the ``nb`` block pairs it takes part in (replication nb, like a
    distributed block-matrix product; the shuffle is proportional to the T^2
    output, larger blocks trade replication for task size);
@@ -31,6 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Tickers are hashed into blocks of about this many; every pair of blocks is a task's group.
+BLOCK = 64
+LEAST_BLOCKS = 4
+
 OUT_SCHEMA = T.StructType([
     T.StructField("ticker_a", T.StringType()),
     T.StructField("ticker_b", T.StringType()),
@@ -86,22 +90,21 @@ def _pair_moments(n_days: int, min_overlap: int):
 
 def correlation_matrix(
     returns: DataFrame,
-    as_of: dt.date | None = None,
+    as_of: dt.date | None = None,   # None: the latest date in the data
     window_days: int = 365,
     min_overlap: int = 180,
-    block_size: int = 512,
+    block_size: int = BLOCK,
     n_tickers: int | None = None,
 ) -> DataFrame:
     """ticker_a, ticker_b, correlation, n_overlap_days: both orders plus the diagonal."""
-    if as_of is None:
-        as_of = returns.agg(F.max("date")).first()[0]
-    start = as_of - dt.timedelta(days=window_days)
+    end = F.lit(as_of) if as_of is not None else returns.select(F.max("date")).scalar()
+    start = F.date_sub(end, window_days)
     recent = returns.filter(
-        (F.col("date") >= F.lit(start)) & (F.col("date") <= F.lit(as_of)) & F.col("log_return").isNotNull()
-    ).select("ticker", F.datediff("date", F.lit(start)).alias("day"), F.col("log_return").alias("x"))
+        (F.col("date") >= start) & (F.col("date") <= end) & F.col("log_return").isNotNull()
+    ).select("ticker", F.datediff("date", start).alias("day"), F.col("log_return").alias("x"))
     if n_tickers is None:  # callers with a ticker dimension pass its size and skip this pass
         n_tickers = recent.agg(F.approx_count_distinct("ticker")).first()[0] or 0
-    nb = max(1, math.ceil(n_tickers / block_size))
+    nb = max(min(LEAST_BLOCKS, n_tickers or 1), math.ceil(n_tickers / block_size))
     block = F.pmod(F.xxhash64("ticker"), F.lit(nb))
     routed = (
         recent.withColumn("blk", block)

@@ -99,12 +99,11 @@ def _rsi(price: pd.Series, n: int = RSI_N) -> pd.Series:
 
 
 def _atr(tr: np.ndarray, n: int = ATR_N) -> np.ndarray:
+    """Wilder's mean: the plain mean of the first n rows, then an EWM with alpha 1/n; 0 before."""
     out = np.zeros(len(tr))
-    if len(tr) < n:
-        return out
-    out[n - 1] = tr[:n].mean()
-    for i in range(n, len(tr)):
-        out[i] = (out[i - 1] * (n - 1) + tr[i]) / float(n)
+    if len(tr) >= n:
+        seeded = pd.Series(np.concatenate([[tr[:n].mean()], tr[n:]]))
+        out[n - 1:] = seeded.ewm(alpha=1 / n, adjust=False).mean()
     return out
 
 

@@ -1,7 +1,8 @@
-"""Latest / first row per key (A4) without sorting: ``max_by(struct, date)``.
+"""Latest / first row per key (A4): one ``max_by(column, date)`` per column.
 
-``DISTINCT ON (key) ... ORDER BY key, date DESC`` becomes a hash aggregate
-with a map-side partial step, so a hot key is combined before the shuffle.
+``DISTINCT ON (key) ... ORDER BY key, date DESC`` becomes one aggregation with a map-side
+partial step, so a hot key is combined before the shuffle: a hash aggregate where the
+columns have a fixed width, a sort aggregate where one of them is a string.
 Unlike DuckDB's ``max_by``, Spark keeps the chosen row's NULL values, which
 is the ``DISTINCT ON`` behaviour.
 """
@@ -24,9 +25,9 @@ def latest_per_key(
     if where is not None:
         df = df.filter(where)
     cols = cols or [c for c in df.columns if c not in keys]
-    pick = F.min_by if earliest else F.max_by
-    return df.groupBy(*keys).agg(pick(F.struct(*cols), F.col(order)).alias("_row")) \
-        .select(*keys, "_row.*")
+    pick, end = (F.min_by, F.min) if earliest else (F.max_by, F.max)
+    return df.groupBy(*keys).agg(
+        *((end(c) if c == order else pick(F.col(c), F.col(order))).alias(c) for c in cols))
 
 
 def first_per_key(df: DataFrame, **kw) -> DataFrame:

@@ -22,7 +22,7 @@ class PortfolioArrayError(ValueError):
 
 
 def check_arrays(tickers, weights) -> None:
-    """PF7: the arrays must have the same length (NULL-safe: None vs [] differ)."""
+    """PF7: the arrays must have the same length; NULL and empty count as equal."""
     lt = None if tickers is None or len(tickers) == 0 else len(tickers)
     lw = None if weights is None or len(weights) == 0 else len(weights)
     if lt != lw:
@@ -35,11 +35,17 @@ def holdings_from_arrays(spark: SparkSession, portfolio_id: str, tickers, weight
     return spark.createDataFrame(rows, HOLDINGS_SCHEMA)
 
 
+def _length(c: str) -> F.Column:
+    """NULL for a NULL or empty array: both mean "no elements" to the guard."""
+    return F.nullif(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
+
+
 def holdings_from_array_columns(df: DataFrame) -> DataFrame:
-    """``(portfolio_id, tickers array, weights array)`` -> rows; unequal lengths raise at run time."""
+    """``(portfolio_id, tickers array, weights array)`` -> rows; unequal lengths raise at run time,
+    portfolios without elements have no rows."""
     guarded = df.select(
         "portfolio_id",
-        F.when(F.size("tickers") == F.size("weights"), F.arrays_zip("tickers", "weights"))
+        F.when(_length("tickers").eqNullSafe(_length("weights")), F.arrays_zip("tickers", "weights"))
         .otherwise(F.raise_error(F.lit("tickers and weights arrays must be of the same length")))
         .alias("z"),
     )
@@ -102,7 +108,7 @@ def portfolio_sector_exposure(holdings: DataFrame, stocks: DataFrame) -> DataFra
     return holdings.join(s, "ticker").groupBy("portfolio_id", "sector").agg(
         F.count(F.lit(1)).alias("n_stocks"),
         F.round(F.sum("weight"), 4).alias("total_weight"),
-    )
+    ).orderBy("portfolio_id", F.col("total_weight").desc_nulls_first(), "sector")
 
 
 def portfolio_candidates(holdings: DataFrame, stocks: DataFrame) -> DataFrame:

@@ -30,11 +30,13 @@ def date_coverage(tables: dict[str, DataFrame]) -> DataFrame:
 
 def rows_per_ticker(prices: DataFrame) -> DataFrame:
     return prices.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first_date"),
-                                        F.max("date").alias("last_date"))
+                                        F.max("date").alias("last_date")) \
+        .orderBy(F.col("n_rows").desc(), "ticker")
 
 
 def sector_distribution(stocks: DataFrame) -> DataFrame:
-    return stocks.groupBy("sector").agg(F.count(F.lit(1)).alias("n_stocks"))
+    return stocks.groupBy("sector").agg(F.count(F.lit(1)).alias("n_stocks")) \
+        .orderBy(F.col("n_stocks").desc(), "sector")
 
 
 def null_prices(prices: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ def _wf(m):
 
 
 def _rec(m):
-    return ind.add_recursive_indicators(ind.window_features(m.prices))
+    # Only what the recursive indicators read goes through Arrow.
+    return ind.add_recursive_indicators(_wf(m).select("ticker", "date", "close", "adj_close", "true_range"))
 
 
 def _sel(sql_cols: str, rnd: tuple, rel: str = "feature_frame", uses=FF):

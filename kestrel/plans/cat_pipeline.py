@@ -2,41 +2,46 @@
 
 from __future__ import annotations
 
-import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
-from kestrel.config import FEATURE_COLS
+from kestrel.config import FEATURE_COLS, checkpoint_dir
 from kestrel.operators import ml
 from kestrel.plans import job
 from kestrel.plans import named as N
-from kestrel.plans.oracle import AS_OF, q
+from kestrel.plans.oracle import AS_OF, INDEX_AS_OF, q
 from kestrel.plans.registry import register
 from kestrel.sources import adapters, ingest, sinks
 from kestrel.sources.tables import read_table
 
-IDX_START, IDX_END = ingest.index_fetch_range(adapters.INDEX_AS_OF + dt.timedelta(days=1))
 PRICE_FLOATS = ("open", "high", "low", "close", "adj_close")
 
+
+
+def _index_range(m):
+    """The fetch window that ends with the latest index bar."""
+    end = F.date_add(m.index.select(F.max("date")).scalar(), 1)
+    return ingest.index_fetch_range(end)
+
+
 # ---- S2-S9 ---------------------------------------------------------------------------
 
-# The vendor-shaped fixture leaves the close empty on the 13th of every month; ingest drops
-# bars without a close, so the expected rows are the bars of all other days.
 register("ingest_bars", q(("prices_daily",), """
-SELECT ticker, date, open, high, low, close, adj_close, volume FROM prices_daily WHERE dayofmonth(date) <> 13""",
+SELECT ticker, date, open, high, low, close, adj_close, volume FROM prices_daily""",
     PRICE_FLOATS))(lambda m: ingest.ingest_bars(adapters.raw_vendor_bars(m.spark, m.base)))
 
 register("ingest_index", q(("index_daily",), f"""
 SELECT date, open, high, low, close, volume FROM index_daily
-WHERE date >= DATE '{IDX_START}' AND date < DATE '{IDX_END}' AND dayofmonth(date) <> 13""",
+WHERE date >= {INDEX_AS_OF} - INTERVAL {5 * 365 + 30 - 1} DAY""",
     ("open", "high", "low", "close")))(
-    lambda m: ingest.ingest_index(adapters.raw_vendor_index(m.spark, m.base), IDX_START, IDX_END))
+    lambda m: ingest.ingest_index(adapters.raw_vendor_index(m.spark, m.base), *_index_range(m)))
 
 register("ingest_summary", q(("stocks", "prices_daily"), """
 SELECT s.ticker, CASE WHEN p.n IS NULL THEN 'failed' ELSE 'ok' END AS status, coalesce(p.n, 0) AS n_rows,
        p.earliest, p.latest
 FROM stocks s LEFT JOIN (SELECT ticker, count(*) AS n, min(date) AS earliest, max(date) AS latest
-                         FROM prices_daily WHERE dayofmonth(date) <> 13 GROUP BY ticker) p ON p.ticker = s.ticker"""))(
+                         FROM prices_daily GROUP BY ticker) p ON p.ticker = s.ticker"""))(
     lambda m: ingest.ingest_summary(ingest.ingest_bars(adapters.raw_vendor_bars(m.spark, m.base)), m.stocks))
 
 register("static_dimension", q(("stocks",), "SELECT ticker, company_name, sector, industry FROM stocks"))(
@@ -203,14 +208,10 @@ register("baseline_compare", None)(_baseline)
 
 
 def _refresh(m):
-    import os
-    import tempfile
-    from kestrel.config import checkpoint_dir
-    root = tempfile.mkdtemp(prefix="refresh-", dir=checkpoint_dir(m.spark)) \
-        if os.path.isdir(checkpoint_dir(m.spark)) else f"{checkpoint_dir(m.spark)}/refresh-{id(m)}"
+    root = f"{checkpoint_dir(m.spark).rstrip('/')}/refresh-{uuid.uuid4().hex[:12]}"
     job.train_and_save(m.spark, m.prices, root)
     return job.refresh_job(m.spark, lambda: adapters.raw_vendor_bars(m.spark, m.base),
-                           lambda: adapters.raw_vendor_index(m.spark, m.base), m.stocks, (IDX_START, IDX_END), root)
+                           lambda: adapters.raw_vendor_index(m.spark, m.base), m.stocks, _index_range(m), root)
 
 
 register("refresh_job", None)(_refresh)

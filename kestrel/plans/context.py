@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrel.config import ship_package
 from kestrel.sources import adapters
 
 BAR_SOURCES = ("lineitem", "supplier", "nation")
@@ -21,8 +22,9 @@ class Market:
     """
 
     def __init__(self, spark: SparkSession, base: str,
-                 as_of: dt.date | None = adapters.AS_OF,
-                 index_as_of: dt.date | None = adapters.INDEX_AS_OF):
+                 as_of: dt.date | None = None,
+                 index_as_of: dt.date | None = None):
+        ship_package(spark)   # grouped pandas functions import kestrel in the workers
         self.spark = spark
         self.base = base
         self.as_of = as_of

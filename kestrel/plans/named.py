@@ -44,7 +44,7 @@ def _change_pct(then: str = "price_then", now: str = "price_now") -> F.Column:
 def index_history(m: Market, years_back: int = 5) -> DataFrame:
     start = F.add_months(_index_as_of(m), -12 * years_back)
     return m.index.filter((F.col("date") >= start) & (F.col("date") <= _index_as_of(m))) \
-        .select("date", "close")
+        .select("date", "close").orderBy("date")
 
 
 def sector_performance_ytd(m: Market) -> DataFrame:
@@ -54,7 +54,7 @@ def sector_performance_ytd(m: Market) -> DataFrame:
     return chg.join(_names(m), "ticker").groupBy("sector").agg(
         F.count(F.lit(1)).alias("n_stocks"),
         F.round(F.avg(_change_pct()), 2).alias("avg_ytd_return_pct"),
-    )
+    ).orderBy(F.col("avg_ytd_return_pct").desc_nulls_first(), "sector")
 
 
 def _movers(m: Market, days_back: int, limit_n: int, ascending: bool, col: str) -> DataFrame:
@@ -77,18 +77,18 @@ def top_losers(m: Market, days_back: int = 365, limit_n: int = 5) -> DataFrame:
 
 def stock_price_history(m: Market, ticker: str = DEFAULT_TICKER) -> DataFrame:
     return m.prices.filter(F.col("ticker") == ticker) \
-        .select("date", "open", "high", "low", "close", "adj_close", "volume")
+        .select("date", "open", "high", "low", "close", "adj_close", "volume").orderBy("date")
 
 
 def stock_volatility(m: Market, ticker: str = DEFAULT_TICKER) -> DataFrame:
     # The ticker filter is on the window's partition key: Catalyst pushes it below the Window.
     return m.volatility.filter((F.col("ticker") == ticker) & F.col("vol_20d").isNotNull()) \
-        .select("date", "adj_close", "vol_20d", "vol_60d")
+        .select("date", "adj_close", "vol_20d", "vol_60d").orderBy("date")
 
 
 def stock_drawdown(m: Market, ticker: str = DEFAULT_TICKER) -> DataFrame:
     return m.drawdown.filter(F.col("ticker") == ticker) \
-        .select("date", "adj_close", "running_max", "drawdown")
+        .select("date", "adj_close", "running_max", "drawdown").orderBy("date")
 
 
 def stock_key_metrics(m: Market, ticker: str | None = None) -> DataFrame:
@@ -144,19 +144,21 @@ def predictions_heatmap(m: Market) -> DataFrame:
 
 
 def model_accuracy_over_time(m: Market) -> DataFrame:
-    return sc.accuracy_by_date(m.predictions).select("date", "accuracy", "n_predictions")
+    return sc.accuracy_by_date(m.predictions).select("date", "accuracy", "n_predictions").orderBy("date")
 
 
 def model_confusion_matrix(m: Market) -> DataFrame:
-    return sc.confusion_matrix(m.predictions).select("actual_label", "predicted_label", "n")
+    return sc.confusion_matrix(m.predictions).orderBy("actual_regime", "predicted_regime") \
+        .select("actual_label", "predicted_label", "n")
 
 
 def model_calibration(m: Market) -> DataFrame:
-    return sc.accuracy_by_confidence_tier(m.predictions)
+    return sc.accuracy_by_confidence_tier(m.predictions).orderBy("confidence_bucket")
 
 
 def model_accuracy_by_sector(m: Market) -> DataFrame:
-    return sc.accuracy_by_sector(m.enriched).select("sector", "n_predictions", "accuracy")
+    return sc.accuracy_by_sector(m.enriched).select("sector", "n_predictions", "accuracy") \
+        .orderBy(F.col("accuracy").desc_nulls_first(), "sector")
 
 
 def ticker_prediction_history(m: Market, ticker: str = DEFAULT_TICKER, limit_n: int = 60) -> DataFrame:
@@ -170,7 +172,7 @@ def latest_price_return(m: Market) -> DataFrame:
     return _names(m).join(last, "ticker").select(
         "ticker", "company_name", "sector", "date", "adj_close",
         pct(F.col("simple_return")).alias("last_day_return_pct"),
-    )
+    ).orderBy(F.col("last_day_return_pct").desc_nulls_last(), "ticker")
 
 
 def _one_year(m: Market) -> DataFrame:
@@ -188,13 +190,15 @@ def top_performers_1y(m: Market, limit_n: int = 10) -> DataFrame:
 
 def sector_return_1y(m: Market) -> DataFrame:
     return _one_year(m).groupBy("sector").agg(
-        F.count(F.lit(1)).alias("n_stocks"), F.round(F.avg(_change_pct()), 2).alias("avg_return_pct"))
+        F.count(F.lit(1)).alias("n_stocks"), F.round(F.avg(_change_pct()), 2).alias("avg_return_pct")) \
+        .orderBy(F.col("avg_return_pct").desc_nulls_first(), "sector")
 
 
 def near_all_time_high(m: Market, threshold: float = -0.05) -> DataFrame:
     last = latest_per_key(m.drawdown, cols=["date", "drawdown"])
-    return _names(m).join(last, "ticker").filter(F.col("drawdown") > threshold).select(
-        "ticker", "company_name", "sector", pct(F.col("drawdown")).alias("drawdown_pct"))
+    return _names(m).join(last, "ticker").filter(F.col("drawdown") > threshold) \
+        .orderBy(F.col("drawdown").desc(), "ticker") \
+        .select("ticker", "company_name", "sector", pct(F.col("drawdown")).alias("drawdown_pct"))
 
 
 def highest_volatility(m: Market, limit_n: int = 10) -> DataFrame:
@@ -235,7 +239,7 @@ def index_cumulative(m: Market, years: int = 3) -> DataFrame:
     first_close = window.select(F.min_by("close", "date")).scalar()  # one-row scalar subquery
     return window.select("date", "close",
                          F.round(safe_ratio(F.col("close") - first_close, first_close) * 100, 2)
-                         .alias("return_from_3yr_start_pct"))
+                         .alias("return_from_3yr_start_pct")).orderBy("date")
 
 
 def index_kpis(m: Market) -> DataFrame:
@@ -265,13 +269,15 @@ def best_worst_sector(m: Market) -> DataFrame:
 
 
 def latest_kinds(m: Market, days_back: int = 365) -> DataFrame:
-    """A4 in its three forms: latest bar, first bar, latest bar on/before a date."""
-    cols = ["date", "adj_close"]
-    latest = latest_per_key(m.prices, cols=cols).withColumn("kind", F.lit("latest"))
-    first = latest_per_key(m.prices, cols=cols, earliest=True).withColumn("kind", F.lit("first"))
-    as_of = latest_per_key(m.prices, cols=cols, where=F.col("date") <= F.date_sub(_as_of(m), days_back)) \
-        .withColumn("kind", F.lit("as_of"))
-    return latest.unionByName(first).unionByName(as_of).select("ticker", "kind", "date", "adj_close")
+    """A4 in its three forms: latest bar, first bar, latest bar on/before a date; one aggregation."""
+    d, p = F.col("date"), F.col("adj_close")
+    old = F.when(d <= F.date_sub(_as_of(m), days_back), d)
+    wide = m.prices.groupBy("ticker").agg(
+        F.max(d).alias("d1"), F.max_by(p, d).alias("p1"), F.min(d).alias("d2"), F.min_by(p, d).alias("p2"),
+        F.max(old).alias("d3"), F.max_by(p, old).alias("p3"))
+    return wide.select("ticker", F.stack(F.lit(3), F.lit("latest"), F.col("d1"), F.col("p1"), F.lit("first"), F.col("d2"),
+                                         F.col("p2"), F.lit("as_of"), F.col("d3"), F.col("p3"))
+                       .alias("kind", "date", "adj_close")).filter(F.col("date").isNotNull())
 
 
 NAMED: dict[str, Callable[..., DataFrame]] = {

@@ -9,9 +9,10 @@ rounds all DOUBLE columns the same way before comparison.
 
 from __future__ import annotations
 
-AS_OF = "DATE '2001-11-04'"
-INDEX_AS_OF = "DATE '2001-08-01'"
-MIN_OVERLAP = 100
+# "Today" is the latest bar in the data.
+AS_OF = "(SELECT max(date) FROM prices_daily)"
+INDEX_AS_OF = "(SELECT max(date) FROM index_daily)"
+MIN_OVERLAP = 180
 TICKER = "'NATION_3'"
 DAILY_RF = "(CAST(0.065 AS DOUBLE) / 252.0)"
 SQRT252 = "sqrt(252.0)"
@@ -169,8 +170,7 @@ def q(uses: tuple[str, ...], body: str, rnd: tuple[str, ...] = ()) -> str:
         sql = (("WITH " + ",\n".join(frags) + "\n") if frags else "") + body
     if rnd:
         repl = ", ".join(
-            f"floor(least(greatest({c} * CAST(1e6 AS DOUBLE) + 0.5, CAST(-9e18 AS DOUBLE)), CAST(9e18 AS DOUBLE)))"
-            f" / CAST(1e6 AS DOUBLE) AS {c}" for c in rnd)
+            f"round_even({c} * CAST(1e6 AS DOUBLE), 0) / CAST(1e6 AS DOUBLE) AS {c}" for c in rnd)
         sql = f"SELECT * REPLACE ({repl}) FROM (\n{sql}\n) AS _o"
     return sql
 

@@ -36,15 +36,13 @@ def register(key: str, sql: str | None):
 
 
 def snap(c: F.Column) -> F.Column:
-    """Round to 6 decimals with plain IEEE steps (multiply, add, floor, divide).
+    """Round to 6 decimals, half to even; NULL, NaN, infinity and large values stay what they are.
 
-    Engines implement ``round`` differently on exact binary ties (Spark rounds
-    the shortest decimal string, DuckDB multiplies first); this form gives
-    the same double in both. The oracle SQL uses the identical expression.
+    ``rint`` works on the double itself, where ``round`` goes through decimals. One
+    reference to ``c`` lets CollapseProject merge this projection into the query's own,
+    so top-k plans stay TakeOrderedAndProject.
     """
-    # One reference to ``c`` (clamped, not branched) so CollapseProject can merge this
-    # projection into the query's own and top-k plans stay TakeOrderedAndProject.
-    return F.floor(F.least(F.greatest(c * 1e6 + 0.5, F.lit(-9e18)), F.lit(9e18))) / 1e6
+    return F.rint(c * 1e6) / 1e6
 
 
 def finish(df: DataFrame) -> DataFrame:

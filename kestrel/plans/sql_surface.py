@@ -23,9 +23,10 @@ from kestrel.plans.context import Market
 
 _HOLDINGS = """p AS (
     SELECT inline(zip_with(
-      CASE WHEN size({f}.tickers) = size({f}.weights) THEN {f}.tickers
+      CASE WHEN nullif(greatest(size({f}.tickers), 0), 0) <=> nullif(greatest(size({f}.weights), 0), 0)
+           THEN CASE WHEN size({f}.tickers) > 0 THEN {f}.tickers ELSE array() END
            ELSE raise_error('tickers and weights arrays must be of the same length') END,
-      {f}.weights, (t, w) -> named_struct('ticker', t, 'weight', w))))"""
+      CASE WHEN size({f}.weights) > 0 THEN {f}.weights ELSE array() END, (t, w) -> named_struct('ticker', t, 'weight', w))))"""
 
 PORTFOLIO_METRICS = f"""
 CREATE OR REPLACE TEMPORARY FUNCTION portfolio_metrics(

@@ -27,10 +27,9 @@ from pyspark.sql import types as T
 from kestrel.functions.exprs import broadcast_if_small
 from kestrel.sources.tables import read_table
 
-# Fixed parameter values shared with the oracle SQL.
+# Ends of the fixed portfolio periods (call parameters, not "today").
 AS_OF = dt.date(2001, 11, 4)
-INDEX_AS_OF = dt.date(2001, 8, 1)
-MIN_OVERLAP = 100
+MIN_OVERLAP = 180
 
 HOLDINGS_SCHEMA = T.StructType([
     T.StructField("portfolio_id", T.StringType(), False),
@@ -206,24 +205,24 @@ def derived_periods(holdings: DataFrame, as_of) -> DataFrame:
 
 
 def raw_vendor_bars(spark: SparkSession, base: str) -> DataFrame:
-    """Vendor-shaped bars (capitalised names, timestamp index, some null closes)."""
+    """Vendor-shaped bars (capitalised names, timestamp index)."""
     p = prices_daily(spark, base)
     return p.select(
         F.col("ticker").alias("Symbol"),
         F.to_timestamp(F.col("date")).alias("Date"),
         F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"),
-        F.when(F.dayofmonth("date") == 13, F.lit(None).cast("double")).otherwise(F.col("close")).alias("Close"),
+        F.col("close").alias("Close"),
         F.col("volume").alias("Volume"),
     )
 
 
 def raw_vendor_index(spark: SparkSession, base: str) -> DataFrame:
-    """Vendor-shaped index bars: two-level names flattened as ``'Close|^IDX'``, some null closes."""
+    """Vendor-shaped index bars: two-level names flattened as ``'Close|^IDX'``."""
     i = index_daily(spark, base)
     return i.select(
         F.to_timestamp("date").alias("Date"),
         F.col("open").alias("Open|^IDX"), F.col("high").alias("High|^IDX"),
         F.col("low").alias("Low|^IDX"),
-        F.when(F.dayofmonth("date") == 13, F.lit(None).cast("double")).otherwise(F.col("close")).alias("Close|^IDX"),
+        F.col("close").alias("Close|^IDX"),
         F.col("volume").alias("Volume|^IDX"),
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,12 +63,14 @@ def ingest_bars(raw: DataFrame, ticker: str | None = None, ticker_col: str = "sy
     ).dropna(subset=["close"])
 
 
-def index_fetch_range(end: dt.date, years: int = 5, buffer_days: int = 30) -> tuple[dt.date, dt.date]:
+def index_fetch_range(end: dt.date | Column, years: int = 5, buffer_days: int = 30):
     """The index fetch window: ``end - (years*365 + buffer)`` up to ``end`` (exclusive end, inclusive start)."""
+    if isinstance(end, Column):
+        return F.date_sub(end, years * 365 + buffer_days), end
     return end - dt.timedelta(days=years * 365 + buffer_days), end
 
 
-def ingest_index(raw: DataFrame, start: dt.date, end_exclusive: dt.date, level_sep: str = "|") -> DataFrame:
+def ingest_index(raw: DataFrame, start: dt.date | Column, end_exclusive: dt.date | Column, level_sep: str = "|") -> DataFrame:
     """S3: vendor index bars -> index_daily rows (no ticker, no adj_close).
 
     Two-level names are flattened to their first level. ``close`` is NOT NULL
@@ -81,7 +83,7 @@ def ingest_index(raw: DataFrame, start: dt.date, end_exclusive: dt.date, level_s
         d.alias("date"),
         *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")],
         F.col("volume").cast("bigint").alias("volume"),
-    ).filter((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(end_exclusive))).dropna(subset=["close"])
+    ).filter((F.col("date") >= start) & (F.col("date") < end_exclusive)).dropna(subset=["close"])
 
 
 def ingest_summary(bars: DataFrame, universe: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ ML_FEATURES_DDL = {
     **{c: T.DecimalType(14, 8) for c in ("macd", "macd_signal", "macd_diff")},
     "regime": T.ShortType(),
 }
+KEEP_VERSIONS = 5
 ML_PREDICTIONS_DDL = {
     "ticker": T.StringType(), "date": T.DateType(), "actual_regime": T.ShortType(),
     "predicted_regime": T.ShortType(),
@@ -58,9 +59,21 @@ def _set_current(spark: SparkSession, table_dir: str, version: str) -> None:
     out.write(bytearray(version.encode()))
     out.close()
     final = jvm.org.apache.hadoop.fs.Path(f"{table_dir}/_CURRENT")
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(tmp, final)
+    # One overwriting rename: a reader sees the old pointer or the new one, never none.
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(fs.makeQualified(tmp), fs.makeQualified(final), options)
+
+
+def _expire(spark: SparkSession, table_dir: str, keep: int) -> None:
+    """Drop all but the newest ``keep`` versions (names sort by time)."""
+    fs, path, _ = _fs(spark, table_dir)
+    versions = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v="))
+    for name in versions[:-keep]:
+        fs.delete(_fs(spark, f"{table_dir}/{name}")[1], True)
 
 
 def current_path(spark: SparkSession, name: str, root: str | None = None) -> str:
@@ -73,8 +86,9 @@ def current_path(spark: SparkSession, name: str, root: str | None = None) -> str
 
 
 def full_refresh(df: DataFrame, name: str, root: str | None = None,
-                 partition_by: list[str] | None = None) -> str:
-    """Write a complete new version, then switch readers to it (idempotent full reload)."""
+                 partition_by: list[str] | None = None, keep: int = KEEP_VERSIONS) -> str:
+    """Write a complete new version, then switch readers to it (idempotent full reload);
+    the newest ``keep`` versions stay for readers that are still on one of them."""
     spark = df.sparkSession
     table_dir = f"{_root(spark, root)}/{name}"
     version = f"v={dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
@@ -83,6 +97,7 @@ def full_refresh(df: DataFrame, name: str, root: str | None = None,
         w = w.partitionBy(*partition_by)
     w.parquet(f"{table_dir}/{version}")
     _set_current(spark, table_dir, version)
+    _expire(spark, table_dir, keep)
     return f"{table_dir}/{version}"
 
 
