@@ -69,7 +69,8 @@ def feature_box_stats(features: DataFrame, cols: list[str] | None = None) -> Dat
     iqr = F.col("q3") - F.col("q1")
     fences = wide.select("*", (F.col("q1") - 1.5 * iqr).alias("lo_f"), (F.col("q3") + 1.5 * iqr).alias("hi_f"))
     v = F.col("value")
-    whisk = long.join(fences.select("feature", "regime", "lo_f", "hi_f"), ["feature", "regime"]).groupBy(
+    # One row per feature and regime: a fixed, small number.
+    whisk = long.join(F.broadcast(fences.select("feature", "regime", "lo_f", "hi_f")), ["feature", "regime"]).groupBy(
         "feature", "regime").agg(
         F.min(F.when(v >= F.col("lo_f"), v)).alias("whisker_lo"),
         F.max(F.when(v <= F.col("hi_f"), v)).alias("whisker_hi"),

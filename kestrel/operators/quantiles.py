@@ -1,21 +1,20 @@
 """Exact grouped quantiles (linear interpolation) for groups of any size.
 
-Spark's ``percentile`` is exact but keeps every distinct value of a group
-in one aggregation buffer; when one group holds a third of all rows that is
-an unbounded buffer in one task. This operator finds order statistics by
-iterative histogram narrowing instead:
+Spark's ``percentile`` is exact but keeps every distinct value of a group in one
+aggregation buffer; when one group holds a third of all rows that is an unbounded buffer
+in one task. This operator finds order statistics by histogram narrowing, the same way at
+every size:
 
-* each pass is one distributed hash aggregation of (group, target, bucket)
-  counts with map-side combine, so a hot group never sits in one task;
-* the bucket index ``floor((v - lo) / (hi - lo) * B)`` is monotone in v, so
-  the values of one bucket are exactly those in ``[min_b, max_b]`` and the
-  next pass narrows to that closed range;
-* once a target's range holds at most ``max_candidates`` values (or a single
-  distinct value), the exact rank is picked among those candidates only.
+* a target is a rank inside a closed value range of its group, at first the whole group;
+* a pass counts the values of every open range in ``buckets`` equal parts, one distributed
+  hash aggregation with map-side combine: targets that share a range share its histogram,
+  and as ranges are disjoint or equal no row is counted twice for a range;
+* the bucket index is monotone in the value and the range's two ends fall into different
+  buckets, so the bucket that holds a rank is a strictly smaller range; passes go on until
+  every range is a single value.
 
-The per-target state (one row per group and target rank) is small and is
-checkpointed to the shared checkpoint folder after every narrowing pass, so
-lineage stays short however many passes run.
+The state has one row per group and rank. It is broadcast behind a check of its size and
+written to the shared checkpoint folder after every pass, which also cuts the lineage.
 """
 
 from __future__ import annotations
@@ -26,91 +25,56 @@ from pyspark.sql import functions as F
 
 from kestrel.config import checkpoint_dir
 
+BROADCAST_ROWS = 100_000
+
 
 def _targets(stats: DataFrame, probs: list[float]) -> DataFrame:
-    """One row per (group, p, which) with the 0-based rank to find."""
+    """One row per (group, p, which) with its rank ``k`` counted from the start of the range."""
     rows = []
     for p in probs:
         h = (F.col("n") - 1) * F.lit(float(p))
         k0 = F.floor(h)
-        rows.append(F.struct(F.lit(float(p)).alias("p"), F.lit(0).alias("which"), k0.alias("k"),
-                             (h - k0).alias("frac")))
-        rows.append(F.struct(F.lit(float(p)).alias("p"), F.lit(1).alias("which"),
-                             F.least(k0 + 1, F.col("n") - 1).alias("k"), (h - k0).alias("frac")))
-    return stats.select("*", F.explode(F.array(*rows)).alias("t")).select(
-        *[c for c in stats.columns], "t.*")
+        for which, k in ((0, k0), (1, F.least(k0 + 1, F.col("n") - 1))):
+            rows.append(F.struct(F.lit(float(p)).alias("p"), F.lit(which).alias("which"), k.alias("k"),
+                                 (h - k0).alias("frac")))
+    return stats.withColumn("t", F.explode(F.array(*rows))).select(*stats.columns, "t.*").drop("n")
+
+
+def _narrow(data: DataFrame, state: DataFrame, groups: list[str], buckets: int, small: bool) -> DataFrame:
+    """One pass: every open target's range shrinks to the bucket that holds its rank."""
+    part = [*groups, "lo", "hi"]
+    ranges = state.filter("lo < hi").select(*part).distinct()
+    width = F.col("hi") - F.col("lo")
+    bucket = F.least(F.floor((F.col("v") - F.col("lo")) / width * buckets), F.lit(buckets - 1))
+    hist = data.join(F.broadcast(ranges) if small else ranges, groups) \
+        .filter(F.col("v").between(F.col("lo"), F.col("hi"))) \
+        .groupBy(*part, bucket.alias("b")) \
+        .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo2"), F.max("v").alias("hi2"))
+    before = Window.partitionBy(*part).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    held = (F.col("k") >= F.col("before")) & (F.col("k") < F.col("before") + F.col("c"))
+    moved = state.filter("lo < hi").join(hist, part).filter(held).select(
+        *groups, F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "p", "which",
+        (F.col("k") - F.col("before")).alias("k"), "frac")
+    return state.filter("lo = hi").select(*moved.columns).unionByName(moved)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    groups: list[str],
-    value: str,
-    probs: list[float],
-    buckets: int = 4096,
-    max_candidates: int = 100_000,
-    max_passes: int = 12,
-) -> DataFrame:
-    """``groups + [p, quantile]``: ``quantile_cont`` of ``value`` per group."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    v = F.col(value)
-    # Several passes read the input: keep it (memory, spilling to disk) for the
-    # duration; a lost executor recomputes its blocks from lineage.
-    data = df.select(*groups, v.alias("v")).filter(F.col("v").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = data.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                      F.max("v").alias("hi"))
-    state = _targets(stats, probs).withColumn("below", F.lit(0).cast("bigint")) \
-        .withColumn("done", F.col("lo") == F.col("hi")) \
-        .withColumn("answer", F.when(F.col("lo") == F.col("hi"), F.col("lo"))) \
-        .withColumn("cnt", F.col("n"))
-    keys = groups + ["p", "which"]
-    for _ in range(max_passes):
-        open_ = state.filter(~F.col("done") & (F.col("cnt") > max_candidates))
-        if open_.isEmpty():
-            break
-        width = F.col("hi") - F.col("lo")
-        bucket = F.least(F.floor((F.col("v") - F.col("lo")) / width * buckets), F.lit(buckets - 1))
-        hist = data.join(open_.select(*keys, "lo", "hi"), groups) \
-            .filter(F.col("v").between(F.col("lo"), F.col("hi"))) \
-            .groupBy(*keys, bucket.alias("b")) \
-            .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("bmin"), F.max("v").alias("bmax"))
-        w = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        hist = hist.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-        chosen = hist.join(open_.select(*keys, "k", "below"), keys) \
-            .filter((F.col("k") - F.col("below") >= F.col("before"))
-                    & (F.col("k") - F.col("below") < F.col("before") + F.col("c"))) \
-            .select(*keys, F.col("bmin").alias("lo2"), F.col("bmax").alias("hi2"),
-                    (F.col("below") + F.col("before")).alias("below2"), F.col("c").alias("cnt2"))
-        state = state.join(chosen, keys, "left").select(
-            *[c for c in state.columns if c not in ("lo", "hi", "below", "cnt", "done", "answer")],
-            F.coalesce("lo2", "lo").alias("lo"), F.coalesce("hi2", "hi").alias("hi"),
-            F.coalesce("below2", "below").alias("below"), F.coalesce("cnt2", "cnt").alias("cnt"),
-        ).withColumn("done", F.col("lo") == F.col("hi")) \
-         .withColumn("answer", F.when(F.col("done"), F.col("lo")))
-        state = state.checkpoint()
-    # Exact pick among the (bounded) candidates of every unresolved target.
-    # Targets that share a candidate range (always the case when no narrowing was
-    # needed) are served by ONE ranking of that range: each value is ranked once.
-    pending = state.filter(~F.col("done"))
-    rkeys = groups + ["lo", "hi", "below"]
-    ranges = pending.select(*rkeys).distinct()
-    cand = data.join(ranges, groups).filter(F.col("v").between(F.col("lo"), F.col("hi")))
-    ranked = cand.withColumn("r", F.row_number().over(Window.partitionBy(*rkeys).orderBy("v")) - 1)
-    picked = ranked.join(pending.select(*keys, *[c for c in rkeys if c not in groups], "k"), rkeys) \
-        .filter(F.col("r") == F.col("k") - F.col("below")) \
-        .select(*keys, F.col("v").alias("picked"))
-    resolved = state.join(picked, keys, "left").select(
-        *groups, "p", "which", "frac", F.coalesce("answer", "picked").alias("x"))
-    out = resolved.groupBy(*groups, "p").agg(
-        F.max(F.when(F.col("which") == 0, F.col("x"))).alias("x0"),
-        F.max(F.when(F.col("which") == 1, F.col("x"))).alias("x1"),
-        F.max("frac").alias("frac"),
-    )
-    result = out.select(*groups, "p",
-                        (F.col("x0") + F.col("frac") * (F.col("x1") - F.col("x0"))).alias("quantile"))
-    # The answer is small (groups x probs): materialise it once, then release the input
-    # (a lost block of the answer recomputes from lineage, i.e. from the source).
-    result = result.persist(StorageLevel.MEMORY_AND_DISK)
-    result.count()
+def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float],
+                    buckets: int = 4096) -> DataFrame:
+    """``groups + [p, quantile]``: ``quantile_cont`` of the finite values of ``value`` per group."""
+    if buckets < 2:
+        raise ValueError("a range needs at least two buckets to shrink")
+    checkpoint_dir(df.sparkSession)
+    # Every pass reads the input: keep it (memory, spilling to disk) for the duration; a
+    # lost executor recomputes its blocks from lineage.
+    data = df.select(*groups, F.col(value).alias("v")).filter(F.abs("v") < float("inf")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    stats = data.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    state = _targets(stats, probs).checkpoint()
+    small = state.count() <= BROADCAST_ROWS
+    while not state.filter("lo < hi").isEmpty():
+        state = _narrow(data, state, groups, buckets, small).checkpoint()
     data.unpersist()
-    return result
+    x0, x1 = (F.max(F.when(F.col("which") == w, F.col("lo"))) for w in (0, 1))
+    out = state.groupBy(*groups, "p").agg(x0.alias("x0"), x1.alias("x1"), F.max("frac").alias("frac"))
+    return out.select(*groups, "p", (F.col("x0") + F.col("frac") * (F.col("x1") - F.col("x0"))).alias("quantile"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kestrel.config import FEATURE_COLS, checkpoint_dir
 from kestrel.operators import ml
@@ -77,8 +79,18 @@ FROM stocks s FULL OUTER JOIN n ON n.ticker = s.ticker"""))(
 register("full_refresh_sink", q(("prices_daily",), "SELECT * FROM prices_daily", PRICE_FLOATS))(
     lambda m: m.spark.read.parquet(sinks.full_refresh(m.prices, "prices_daily")))
 
-register("drop_create_sink", None)(
-    lambda m: m.spark.read.parquet(sinks.drop_create(m.features, "ml_features", sinks.ML_FEATURES_DDL)))
+_DECIMALS = {c: t.simpleString() for c, t in sinks.ML_FEATURES_DDL.items() if isinstance(t, T.DecimalType)}
+
+
+def _drop_create(m):
+    """The stored table, its declared decimals read as double."""
+    stored = m.spark.read.parquet(sinks.drop_create(m.features, "ml_features", sinks.ML_FEATURES_DDL))
+    return stored.select(*(F.col(c).cast("double").alias(c) if c in _DECIMALS else F.col(c) for c in stored.columns))
+
+
+register("drop_create_sink", q(("ml_features",), "SELECT ticker, date, " + ", ".join(
+    f"CAST(CAST({c} AS {t}) AS DOUBLE) AS {c}" for c, t in _DECIMALS.items())
+    + ", CAST(regime AS SMALLINT) AS regime FROM ml_features", tuple(_DECIMALS)))(_drop_create)
 
 
 def _materialize(m):
@@ -89,7 +101,10 @@ def _materialize(m):
     }, shared=r)
 
 
-register("materialize_views", None)(_materialize)
+register("materialize_views", q(
+    ("rolling_volatility", "rolling_sharpe", "drawdown_daily", "correlation_matrix"), " UNION ALL ".join(
+        f"SELECT '{v}' AS \"view\", count(*) AS n_rows FROM {v}"
+        for v in ("rolling_volatility", "rolling_sharpe", "drawdown_daily", "correlation_matrix"))))(_materialize)
 
 register("query_by_name", q(("stocks", "prices_daily"), f"""
 SELECT * FROM (
@@ -158,14 +173,21 @@ FROM f JOIN t ON t.pos = f.train_size"""))(
     lambda m: ml.fold_bounds(ml.time_split(ml.load_features(m.features))[0]))
 
 
+_MODELS: dict[tuple, str] = {}   # (application, dataset, kind) -> folder of the fitted model
+
+
 def _trained(m, lr: bool = False):
-    data = ml.load_features(m.features)
-    train, test = ml.time_split(data)
-    train, test = ml.materialize(train), ml.materialize(test)
+    """(model, train, test); a model is fitted once per dataset and read back afterwards."""
+    train, test = ml.time_split(ml.load_features(m.features))
     if lr:
-        strain, stest = ml.materialize(ml.standard_scale(train, train)), ml.materialize(ml.standard_scale(train, test))
-        return ml.logistic_baseline(strain), strain, stest
-    return ml.tree_classifier(train), train, test
+        train, test = ml.standard_scale(train, train), ml.standard_scale(train, test)
+    key = (m.spark.sparkContext.applicationId, m.base, lr)
+    if key not in _MODELS:
+        rows = ml.materialize(train)
+        path = f"{checkpoint_dir(m.spark).rstrip('/')}/models/{'lr' if lr else 'rf'}-{uuid.uuid4().hex[:12]}"
+        (ml.logistic_baseline(rows) if lr else ml.tree_classifier(rows)).save(path)
+        _MODELS[key] = path
+    return PipelineModel.load(_MODELS[key]), train, test
 
 
 def _acc_frame(m, name, model, test):
@@ -177,7 +199,11 @@ register("logistic_baseline", None)(lambda m: _acc_frame(m, "logistic_regression
 register("tree_classifier", None)(lambda m: _acc_frame(m, "random_forest", *_trained(m)[::2]))
 register("generate_predictions", None)(lambda m: ml.generate_predictions(*_trained(m)[::2]))
 register("feature_importance", None)(lambda m: ml.feature_importance(m.spark, _trained(m)[0]))
-register("model_persist", None)(lambda m: ml.model_persist(*_trained(m)[::2]))
+register("model_persist", q(("ml_features",), """
+WITH d AS (SELECT * FROM ml_features WHERE regime IS NOT NULL),
+c AS (SELECT max(date) - INTERVAL 360 DAY AS cut FROM d)
+SELECT count(*) AS n_rows, count(*) AS n_equal FROM d, c WHERE d.date > c.cut"""))(
+    lambda m: ml.model_persist(*_trained(m)[::2]).drop("path"))
 
 
 def _sweep(m):
@@ -190,7 +216,7 @@ register("hyperparam_sweep", None)(_sweep)
 
 def _walk_forward_scores(m):
     train, _ = ml.time_split(ml.load_features(m.features))
-    return ml.walk_forward_scores(train, numTrees=20)
+    return ml.walk_forward_scores(train)
 
 
 register("walk_forward_scores", None)(_walk_forward_scores)
@@ -211,7 +237,10 @@ def _refresh(m):
     root = f"{checkpoint_dir(m.spark).rstrip('/')}/refresh-{uuid.uuid4().hex[:12]}"
     job.train_and_save(m.spark, m.prices, root)
     return job.refresh_job(m.spark, lambda: adapters.raw_vendor_bars(m.spark, m.base),
-                           lambda: adapters.raw_vendor_index(m.spark, m.base), m.stocks, _index_range(m), root)
+                           lambda: adapters.raw_vendor_index(m.spark, m.base), m.stocks, _index_range(m), root) \
+        .select("step", "status")
 
 
-register("refresh_job", None)(_refresh)
+register("refresh_job", """
+SELECT * FROM (VALUES ('1. ingest prices', 'ok'), ('2. ingest index', 'ok'), ('3. refresh views', 'ok'), ('4. features', 'ok'),
+                      ('5. predictions', 'ok'), ('6. prediction views', 'ok')) AS t(step, status)""")(_refresh)

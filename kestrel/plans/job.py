@@ -24,6 +24,10 @@ from kestrel.sources import ingest, sinks
 STEP_SCHEMA = "step string, status string, seconds double, detail string"
 
 
+class RefreshFailed(RuntimeError):
+    pass
+
+
 def model_root(spark: SparkSession, root: str | None) -> str:
     return f"{sinks._root(spark, root)}/models"
 
@@ -41,7 +45,9 @@ def train_and_save(spark: SparkSession, prices: DataFrame, root: str | None = No
 
 def refresh_job(spark: SparkSession, raw_bars: Callable[[], DataFrame], raw_index: Callable[[], DataFrame],
                 universe: DataFrame, index_range, root: str | None = None,
-                skip_ingest: bool = False, skip_ml: bool = False) -> DataFrame:
+                skip_ingest: bool = False, skip_ml: bool = False, raise_on_failure: bool = True) -> DataFrame:
+    """Run the steps in order; a failing step stops the job and raises :class:`RefreshFailed`
+    (a scheduler sees a failed run), or ends the returned report with ``raise_on_failure=False``."""
     results: list[tuple] = []
 
     def run(name: str, fn: Callable[[], str]) -> bool:
@@ -101,5 +107,7 @@ def refresh_job(spark: SparkSession, raw_bars: Callable[[], DataFrame], raw_inde
 
     for name, fn in steps:
         if not run(name, fn):
+            if raise_on_failure:
+                raise RefreshFailed(f"{results[-1][0]}: {results[-1][3]}")
             break
     return spark.createDataFrame(results, STEP_SCHEMA)

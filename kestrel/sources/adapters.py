@@ -77,7 +77,6 @@ def stocks(spark: SparkSession, base: str) -> DataFrame:
 
 
 # Grouping key for the bar aggregation: (nation key, day) packed into one long.
-# The sort-based aggregation this needs (below) then sorts a single long prefix.
 DAY_BITS = 21                 # 2^21 days ~ 5,700 years
 DAY_OFFSET = 1 << 20          # unix days may be negative
 
@@ -93,10 +92,10 @@ def _unpack_day(g: F.Column) -> F.Column:
 def prices_daily(spark: SparkSession, base: str) -> DataFrame:
     """One bar per (nation, ship day) from lineitem.
 
-    open/close use a unique 5-field tie-breaker K, so ``min_by/max_by`` keep a
-    struct in their buffer: Spark plans a sort-based aggregation (still with
-    a map-side partial step). Grouping on one packed long keeps that sort
-    cheap; the 25 nation names are attached after the aggregation.
+    High, low, volume and the smallest and largest order key of a bar are one hash
+    aggregation. Open and close belong to the first and last row in the order of a 5-field
+    key that begins with the order key; a second scan keeps only the rows at those two
+    order keys (a few per bar) and ranks them.
     """
     li = read_table(spark, base, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
@@ -107,20 +106,23 @@ def prices_daily(spark: SparkSession, base: str) -> DataFrame:
     # supplier grows with the data: broadcast it only when its counted size is bounded.
     supp = broadcast_if_small(supplier, bound=spark.read.parquet(f"{base.rstrip('/')}/supplier.parquet"))
     unit = F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
-    # Unique tie-breaker for open/close inside one (ticker, day).
-    k = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     g = _pack(F.col("s_nationkey"), F.to_date("l_shipdate"))
-    bars = (
-        li.join(supp, li.l_suppkey == supp.s_suppkey)
-        .groupBy(g.alias("g"))
-        .agg(
-            F.min_by(unit, k).alias("open"),
-            F.max(unit).alias("high"),
-            F.min(unit).alias("low"),
-            F.max_by(unit, k).alias("close"),
-            F.sum("l_quantity").cast("bigint").alias("volume"),
-        )
-    )
+    rows = li.join(supp, li.l_suppkey == supp.s_suppkey).select(
+        g.alias("g"), unit.alias("unit"), "l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        "l_extendedprice")
+    bars = rows.groupBy("g").agg(
+        F.max("unit").alias("high"), F.min("unit").alias("low"), F.sum("l_quantity").cast("bigint").alias("volume"),
+        F.min("l_orderkey").alias("o1"), F.max("l_orderkey").alias("o2"))
+    # One row per nation and calendar day: bounded by the calendar, however large lineitem is.
+    ends = F.broadcast(bars.select("g", "o1", "o2"))
+    edge = rows.join(ends, "g").filter((F.col("l_orderkey") == F.col("o1")) | (F.col("l_orderkey") == F.col("o2")))
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+    def end(order: list, name: str) -> DataFrame:
+        n = F.row_number().over(Window.partitionBy("g").orderBy(*order))
+        return edge.withColumn("n", n).filter("n = 1").select("g", F.col("unit").alias(name))
+
+    bars = bars.join(end([F.asc(c) for c in key], "open"), "g").join(end([F.desc(c) for c in key], "close"), "g")
     bars = bars.select(F.shiftright("g", DAY_BITS).cast("int").alias("nk"), _unpack_day(F.col("g")).alias("date"),
                        "open", "high", "low", "close", "volume")
     # nation: fixed 25-row dimension -> bounded broadcast.

@@ -66,3 +66,13 @@ def test_weight_tools(spark):
     stocks = spark.createDataFrame([(t, t, "S", "I") for t in "ABCD"], "ticker string, company_name string, sector string, industry string")
     cand = sorted(r.ticker for r in pf.portfolio_candidates(h, stocks).collect())
     assert cand == ["C", "D"]
+
+
+def test_array_guard_treats_null_and_empty_as_equal(spark):
+    from kestrel.operators import portfolio as pf
+    schema = "portfolio_id string, tickers array<string>, weights array<double>"
+    ok = spark.createDataFrame([("a", None, None), ("b", None, []), ("c", [], None), ("d", [], []), ("e", ["X"], [1.0])], schema)
+    assert [(r.portfolio_id, r.ticker) for r in pf.holdings_from_array_columns(ok).collect()] == [("e", "X")]
+    for bad in ((["X"], None), (["X"], []), (["X", "Y"], [1.0]), (None, [1.0])):
+        with pytest.raises(Exception, match="same length"):
+            pf.holdings_from_array_columns(spark.createDataFrame([("a", *bad)], schema)).collect()

@@ -43,3 +43,48 @@ def test_store_builds_once_and_reads_bucketed(spark, tmp_path):
     src.limit(2).write.mode("append").parquet(str(base / "t.parquet"))
     c = store.stored(spark, "unit", str(base), ("t",), build)
     assert c.count() == 7 and len(calls) == 2
+
+
+def test_a_crash_before_the_switch_leaves_the_old_version(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="kestrel-sink-")
+    sinks.full_refresh(spark.range(5).toDF("x"), "t", root)
+
+    def crash(*a):
+        raise OSError("killed")
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_set_current", crash)
+        try:
+            sinks.full_refresh(spark.range(3).toDF("x"), "t", root)
+        except OSError:
+            pass
+    assert sinks.read_current(spark, "t", root).count() == 5
+
+
+def test_the_pointer_is_replaced_by_one_rename_and_versions_expire(spark):
+    import os
+    root = tempfile.mkdtemp(prefix="kestrel-sink-")
+    for i in range(1, 8):
+        sinks.full_refresh(spark.range(i).toDF("x"), "t", root, keep=3)
+    names = [n for n in os.listdir(f"{root}/t") if not n.startswith(".")]
+    assert sum(n.startswith("v=") for n in names) == 3 and [n for n in names if n.startswith("_CURRENT")] == ["_CURRENT"]
+    assert sinks.read_current(spark, "t", root).count() == 7
+
+
+def test_a_new_session_registers_the_stored_files(spark, tmp_path):
+    from kestrel.sources import store
+    src = spark.createDataFrame([("A", i) for i in range(5)], "ticker string, date int")
+    src.write.parquet(str(tmp_path / "t.parquet"))
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.read.parquet(str(tmp_path / "t.parquet"))
+    first = store.stored(spark, "again", str(tmp_path), ("t",), build)
+    assert first.count() == 5
+    for table in store._STORED.values():   # what a new process starts with: no tables, no memory
+        if table.startswith("kestrel_again"):
+            spark.sql(f"DROP TABLE {table}")
+    store._STORED.clear()
+    second = store.stored(spark, "again", str(tmp_path), ("t",), build)
+    assert second.count() == 5 and len(calls) == 1
+    assert "Bucketed: true" in second.groupBy("ticker").count()._jdf.queryExecution().executedPlan().toString()

@@ -35,3 +35,11 @@ def test_views_and_parameters(spark):
                     "ORDER BY vol_20d DESC LIMIT :k", args={"k": 3}).collect()
     assert len(top) == 3
     assert spark.sql("SELECT count(*) FROM correlation_matrix WHERE ticker_a = ticker_b").first()[0] >= 0
+
+
+def test_table_functions_accept_null_arrays(spark):
+    register_sql(spark, SF_SMALL, as_of=adapters.AS_OF)
+    none = "CAST(NULL AS ARRAY<STRING>), CAST(NULL AS ARRAY<DOUBLE>)"
+    row = spark.sql(f"SELECT * FROM portfolio_metrics({none}, DATE'2000-01-01', DATE'2001-01-01')").first()
+    assert row.n_trading_days == 0 and row.total_return is None
+    assert spark.sql(f"SELECT * FROM portfolio_sector_exposure({none})").count() == 0
