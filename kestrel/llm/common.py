@@ -58,6 +58,20 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def hash_share(key: Column) -> Column:
+    """A number in [0, 1) that a key always gets."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def hash_sample(df: DataFrame, key: str, n: int, rows: int) -> DataFrame:
+    """The ``n`` rows of ``df`` (of about ``rows``) whose key comes first by a hash.
+
+    A threshold leaves about 2 n + 100 of them before the sort, however many there are.
+    """
+    share = hash_share(F.col(key))
+    return df.filter(share * max(rows, 1) < 2 * n + 100).orderBy(share, key).limit(n)
+
+
 def join_by_hot_key(rows: DataFrame, groups: DataFrame, key: list[str], is_hot: Column) -> DataFrame:
     """Inner join of ``rows`` to the one-row-per-key ``groups``.
 

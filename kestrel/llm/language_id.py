@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import documents
+from kestrel.llm.common import documents, hash_share
 
 SAMPLE, LANDMARKS, RIDGE = 1600, 256, 1e-3
 CLASS_BITS = 6
@@ -113,12 +113,18 @@ def fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Model | None:
     """Learn from text and lang of documents outside fold 1; None without labelled texts."""
     train = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 1))
-    languages = train.select("lang").distinct().count()
+    sizes = train.groupBy("lang").agg(F.count("*").alias("rows"))
+    languages = sizes.count()
     if not languages:
         return None
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (train.select("doc_id", "lang").withColumn("turn", F.row_number().over(turn))
-           .filter(F.col("turn") <= max(1, sample // languages)).select("doc_id").distinct())
+    sizes = F.broadcast(sizes) if languages <= 10_000 else sizes
+    # A hash threshold leaves about 2 ``most`` + 20 rows of every language, however many it has.
+    most, share = max(1, sample // languages), hash_share(F.col("doc_id"))
+    turn = Window.partitionBy("lang").orderBy("share", "doc_id")
+    ids = (train.select("doc_id", "lang", share.alias("share")).join(sizes, "lang")
+           .filter(F.col("share") * F.col("rows") < 2 * most + 20)
+           .withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= most)
+           .select("doc_id").distinct())
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import documents, lower_ascii, store
+from kestrel.llm.common import documents, hash_sample, hash_share, lower_ascii, store
 
 DOMAINS = ("good", "plain", "toxic")
 # Target shares of the mixed tokens; the budget keeps ``HEADROOM`` times the good tokens there are.
@@ -125,9 +125,8 @@ def solve(shape: np.ndarray, known: list[list[int]], y: np.ndarray, n_words: int
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_words: int = WORDS) -> Classifier:
     spark = docs.sparkSession
-    chosen = (docs.select("doc_id").join(labelled(labels), "doc_id")
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    chosen = store(chosen.dropDuplicates(["doc_id"]), "mix-sample")   # at most ``sample`` rows
+    known = store(labelled(labels).join(docs.select("doc_id"), "doc_id", "left_semi"), "mix-labels")
+    chosen = store(hash_sample(known, "doc_id", sample, known.count()), "mix-sample")   # at most ``sample`` rows
     texts = store(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
                   .join(F.broadcast(chosen), "doc_id"), "mix-texts")
     per_domain = {r["domain"]: r["count"] for r in texts.groupBy("domain").count().collect()}
@@ -254,8 +253,8 @@ def fit_rates(posteriors: DataFrame, target: dict[str, float] | None = None, rou
 
 
 def uniform(doc_id: Column) -> Column:
-    """A number in [0, 1) that a doc_id always gets."""
-    return F.pmod(F.xxhash64(F.lit("mix"), doc_id), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A number in [0, 1) that a doc_id always gets, independent of the sample's order."""
+    return hash_share(F.xxhash64(F.lit("mix"), doc_id))
 
 
 def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None) -> tuple[DataFrame, Fit, Classifier]:

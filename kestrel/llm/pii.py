@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm.boosting import Boosted, boost, platt
-from kestrel.llm.common import documents
+from kestrel.llm.common import documents, hash_sample
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, ROWS_PER_DOC = 6000, 64
@@ -217,7 +217,7 @@ def solve(x: np.ndarray, y: np.ndarray, held_out: np.ndarray) -> Selector | None
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Selector | None:
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    ids = hash_sample(rows.select("doc_id").distinct(), "doc_id", sample_docs, rows.select("doc_id").count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
