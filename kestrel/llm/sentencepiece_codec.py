@@ -15,7 +15,9 @@ an empty result; extra columns are kept, ``ids`` and ``n_tokens`` replace column
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,16 +30,23 @@ from kestrel.llm.common import documents
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0     # fixed value of the SentencePiece library
-CACHE_WORDS = 300_000      # memory bound of a worker's word cache, emptied when full
+CACHE_WORDS = 300_000      # a worker keeps the words of its last one to two times so many new ones
+
+def _id(i: int) -> bytes:
+    return array("i", [i]).tobytes()
+
+
+# Runs of Latin letters and runs of other characters, each with the markers before it.
+_PARTS = re.compile(rf"{MARK}*(?:[A-Za-zÀ-ÖØ-öø-ʯ]+|[^{MARK}A-Za-zÀ-ÖØ-öø-ʯ]+)|{MARK}+")
 
 
 @dataclass
 class Vocabulary:
-    ids: dict[str, int]
-    scores: dict[str, float | None]   # every suffix of a piece; None where it is no piece itself
-    byte_ids: list[int]
+    pieces: dict[str, tuple[float, bytes] | None]   # score and id of a piece; None for what only ends one
+    byte_ids: list[bytes]             # ids as 32-bit integers in bytes, like those of the pieces
     surfaces: list[bytes]             # what an id decodes to
     unknown: float
+    cut: bool                         # no piece joins a Latin letter and another character: words fall apart there
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -49,59 +58,62 @@ class Vocabulary:
         plain = [i for i in range(size)
                  if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
         surfaces = [b""] * size
-        byte_ids = [0] * 256
+        byte_ids = [b""] * 256
         for i in range(size):
             if sp.is_byte(i):
                 byte = int(names[i][3:5], 16)
-                byte_ids[byte], surfaces[i] = i, bytes([byte])
-        scores: dict[str, float | None] = {}
+                byte_ids[byte], surfaces[i] = _id(i), bytes([byte])
+        pieces: dict[str, tuple[float, bytes] | None] = {}
         for i in plain:
             if MARK in names[i].lstrip(MARK):
                 raise ValueError(f"piece {names[i]!r} crosses a word boundary")
             surfaces[i] = names[i].replace(MARK, " ").encode()
             for k in range(1, len(names[i])):
-                scores.setdefault(names[i][k:], None)
-        scores.update((names[i], sp.get_score(i)) for i in plain)
+                pieces.setdefault(names[i][k:], None)
+        pieces.update((names[i], (sp.get_score(i), _id(i))) for i in plain)
         lowest = min(sp.get_score(i) for i in plain)
-        return Vocabulary({names[i]: i for i in plain}, scores, byte_ids, surfaces, lowest - UNKNOWN_PENALTY)
-
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """Ids of every distinct word; forward scores of a shared prefix are computed once."""
-        out: dict[str, list[int]] = {}
-        best, back = [0.0], [0]   # forward score and start of the last piece, by end position
-        scores, last = self.scores, ""
+        cut = all(len(_PARTS.findall(names[i])) == 1 for i in plain)
+        return Vocabulary(pieces, byte_ids, surfaces, lowest - UNKNOWN_PENALTY, cut)
+
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of every distinct word, by its parts where no piece can cross between them."""
+        if not self.cut:
+            return self._viterbi(words)
+        parts = {w: _PARTS.findall(w) for w in words}
+        ids = self._viterbi(set().union(*parts.values()))
+        return {w: ids[p[0]] if len(p) == 1 else b"".join([ids[x] for x in p]) for w, p in parts.items()}
+
+    def _viterbi(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of every distinct word; what holds for a shared prefix is computed once."""
+        out: dict[str, bytes] = {}
+        best, paths = [0.0], [b""]   # forward score and ids of the best segmentation, by end position
+        find, last = self.pieces.get, ""
         for word in sorted(words):
             shared = 0
             for a, b in zip(last, word):
                 if a != b:
                     break
                 shared += 1
-            del best[shared + 1:], back[shared + 1:]
+            del best[shared + 1:], paths[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
-                start = end - 1
-                score = scores.get(word[start:end])
-                top, arg = best[start] + (self.unknown if score is None else score), start
-                while start:
+                start = at = end - 1
+                hit = find(word[start], False)
+                piece = hit or (self.unknown, b"".join([self.byte_ids[b] for b in word[start].encode("utf-8", "surrogatepass")]))
+                top = best[start] + piece[0]
+                while start and hit is not False:
                     start -= 1
-                    piece = word[start:end]
-                    if piece not in scores:
-                        break
-                    score = scores[piece]
-                    if score is not None and best[start] + score >= top:
-                        top, arg = best[start] + score, start
+                    hit = find(word[start:end], False)
+                    if hit and best[start] + hit[0] >= top:
+                        top, at, piece = best[start] + hit[0], start, hit
                 best.append(top)
-                back.append(arg)
-            ids, end = [], len(word)
-            while end:
-                start = back[end]
-                piece = self.ids.get(word[start:end])
-                ids.extend([piece] if piece is not None else
-                           [self.byte_ids[b] for b in reversed(word[start:end].encode("utf-8", "surrogatepass"))])
-                end = start
-            out[word] = ids[::-1]
+                paths.append(paths[at] + piece[1])
+            out[word] = paths[-1]
             last = word
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return array("i", b"".join(self.encode_words([w])[w] for w in marked_words(text))).tolist()
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.surfaces.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
@@ -120,26 +132,65 @@ def marked_words(text: str) -> list[str]:
     return words if text else []
 
 
+class _Encoder:
+    """Encodes blocks of texts in a Python worker; keeps the words of one to two generations."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        docs = [marked_words(t) for t in texts]
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.before = {}, self.words
+        words, before = self.words, self.before
+        new = set().union(*docs).difference(words)
+        old = new.intersection(before)
+        words.update((w, before[w]) for w in old)
+        words.update(self.vocabulary.encode_words(new - old))
+        return [b"".join(map(words.__getitem__, d)) for d in docs]
+
+
+def _blocks(text: pa.Array) -> Iterator[list[str]]:
+    for at in range(0, len(text), 512):
+        yield [t or "" for t in text[at:at + 512].to_pylist()]
+
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
 def encoder(spark: SparkSession, vocabulary: Vocabulary):
     """Column function: text -> array<int> of ids."""
     held = spark.sparkContext.broadcast(vocabulary)
-    cache: dict[str, bytes] = {}   # one per Python worker and query
+    state: list[_Encoder] = []
 
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
-        out, sizes = [], []
-        for at in range(0, len(text), 512):
-            docs = [marked_words(t or "") for t in text[at:at + 512].to_pylist()]
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            new = held.value.encode_words(set().union(*docs).difference(cache))
-            cache.update((w, np.array(ids, np.int32).tobytes()) for w, ids in new.items())
-            for words in docs:
-                ids = b"".join(map(cache.__getitem__, words))
-                out.append(ids)
-                sizes.append(len(ids) // 4)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), np.int32)))
+        if not state:
+            state.append(_Encoder(held.value))
+        return _lists([ids for block in _blocks(text) for ids in state[0].encode(block)])
+    return encode
+
+
+def checked_encoder(spark: SparkSession, vocabulary: Vocabulary):
+    """Column function: text -> struct(ids, round_trip), round_trip: the ids decode to the text."""
+    held = spark.sparkContext.broadcast(vocabulary)
+    state: list[_Encoder] = []
+
+    @F.arrow_udf("ids array<int>, round_trip boolean")
+    def encode(text: pa.Array) -> pa.Array:
+        if not state:
+            state.append(_Encoder(held.value))
+        out, same = [], []
+        for block in _blocks(text):
+            ids = state[0].encode(block)
+            out += ids
+            same += [held.value.decode(np.frombuffer(x, np.int32).tolist()) == t.replace(MARK, " ")
+                     for x, t in zip(ids, block)]
+        return pa.StructArray.from_arrays([_lists(out), pa.array(same, pa.bool_())], ["ids", "round_trip"])
     return encode
 
 
@@ -164,10 +215,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def encode_checked(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, ids, n_tokens and whether decoding the ids gives the text back."""
-    out = encode(docs.select("doc_id", "text"), vocabulary)
-    back = decoder(docs.sparkSession, vocabulary)(F.col("ids"))
-    same = back == F.translate(F.coalesce("text", F.lit("")), MARK, " ")
-    return out.select("doc_id", "ids", "n_tokens", same.alias("round_trip"))
+    coded = checked_encoder(docs.sparkSession, vocabulary)(F.col("text").cast("string"))
+    out = docs.select("doc_id", coded.alias("c"))
+    return out.select("doc_id", "c.ids", F.size("c.ids").cast("long").alias("n_tokens"), "c.round_trip")
 
 
 def production_vocabulary() -> Vocabulary:

@@ -255,16 +255,15 @@ def vocabulary():
 
 def best_segmentation(v, word):
     """Plain Viterbi over one word."""
+    ints = lambda b: np.frombuffer(b, np.int32).tolist()
     best = [(0.0, [])] + [None] * len(word)
     for end in range(1, len(word) + 1):
         for start in range(end):
-            score = v.scores.get(word[start:end])
-            if score is None and end - start == 1:
-                score, ids = v.unknown, [v.byte_ids[b] for b in word[start:end].encode()]
-            elif score is None:
+            hit = v.pieces.get(word[start:end])
+            if hit is None and end - start > 1:
                 continue
-            else:
-                ids = [v.ids[word[start:end]]]
+            score, ids = (hit[0], ints(hit[1])) if hit else (
+                v.unknown, [i for b in word[start:end].encode() for i in ints(v.byte_ids[b])])
             if best[end] is None or best[start][0] + score > best[end][0]:
                 best[end] = (best[start][0] + score, best[start][1] + ids)
     return best[-1][1]
@@ -273,8 +272,45 @@ def best_segmentation(v, word):
 def test_words_match_plain_viterbi(vocabulary, rows):
     words = {w for r in list(rows.values())[:40] for w in C.marked_words(r.text)}
     words |= {w for t in ODD if t and len(t) < 200 for w in C.marked_words(t)}
-    got = vocabulary.encode_words(words)
+    got = {w: np.frombuffer(x, np.int32).tolist() for w, x in vocabulary.encode_words(words).items()}
     assert got == {w: best_segmentation(vocabulary, w) for w in words}
+    assert vocabulary.cut and vocabulary._viterbi(words) == vocabulary.encode_words(words)
+
+
+def test_segmentations_match_the_library_lattice(vocabulary, rows):
+    """The same vocabulary loaded as a unigram model: its lattice's best path has the same score."""
+    import sentencepiece
+
+    def field(b, number, start, end):
+        """Start and end of a field of a protocol buffer message."""
+        def varint(i):
+            v = s = 0
+            while True:
+                c, i = b[i], i + 1
+                v, s = v | (c & 127) << s, s + 7
+                if not c & 128:
+                    return v, i
+        i = start
+        while i < end:
+            key, i = varint(i)
+            at = i
+            if key & 7 == 0:
+                _, i = varint(i)
+            elif key & 7 == 2:
+                size, at = varint(i)
+                i = at + size
+            else:
+                i += {1: 8, 5: 4}[key & 7]
+            if key >> 3 == number:
+                return at, i
+
+    model = bytearray(open(public_tokenizers.path(C.MODEL), "rb").read())
+    model[field(model, 3, *field(model, 2, 0, len(model)))[0]] = 1   # model_type: unigram
+    sp = sentencepiece.SentencePieceProcessor(model_proto=bytes(model))
+    words = sorted({w for r in list(rows.values())[:10] for w in r.text.split() if w.isalpha()})[:400]
+    score = lambda ids: sum(sp.get_score(i) for i in ids)
+    for w in words:
+        assert score(vocabulary.encode(w)) == score(sp.nbest_encode_as_ids(w, 1)[0])
 
 
 def test_marked_words_and_decoding_match_the_library(vocabulary):
@@ -285,7 +321,7 @@ def test_marked_words_and_decoding_match_the_library(vocabulary):
         t = t or ""
         assert "".join(C.marked_words(t)) == "".join(sp.id_to_piece(i) if not sp.is_byte(i) else "?" for i in sp.encode(t)) \
             or any(sp.is_byte(i) for i in sp.encode(t))
-        ids = [i for w in C.marked_words(t) for i in vocabulary.encode_words([w])[w]]
+        ids = vocabulary.encode(t)
         assert vocabulary.decode(ids) == t == sp.decode(ids)
 
 
@@ -296,7 +332,7 @@ def test_round_trip(text):
     if "_VOC" not in globals():
         _VOC = C.production_vocabulary()
     text = text.encode("utf-8", "ignore").decode()
-    ids = [i for w in C.marked_words(text) for i in _VOC.encode_words([w])[w]]
+    ids = _VOC.encode(text)
     assert _VOC.decode(ids) == text.replace(C.MARK, " ")
 
 
