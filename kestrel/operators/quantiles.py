@@ -60,7 +60,7 @@ def _narrow(data: DataFrame, state: DataFrame, groups: list[str], buckets: int,
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float],
-                    buckets: int = 4096) -> DataFrame:
+                    buckets: int = 1 << 15) -> DataFrame:
     """``groups + [p, quantile]``: ``quantile_cont`` of the finite values of ``value`` per group."""
     if buckets < 2:
         raise ValueError("a range needs at least two buckets to shrink")
