@@ -23,7 +23,8 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -47,6 +48,11 @@ FOOTER = struct.Struct("<IBI")
 HEADER = struct.Struct("<II")
 
 
+# Chunks whose pieces are plain to see: Latin letters, signs that begin no contraction, single line ends.
+_PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[.,;:!?%&$#*|=+<>()\[\]\"-]+|\n")
+_PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[.,;:!?%&$#*|=+<>()\[\]\"-]+|\n(?=\S))+")
+
+
 class SeekableWriter:
     """Appends frames to a binary stream; ``close`` adds the seek table."""
 
@@ -119,36 +125,63 @@ class ChunkEncoder:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.char_of = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}    # ids of a chunk after a blank
+        self.pieces: dict[str, bytes] = {}   # ids of a piece after anything else
         self.split = re.compile(r"(?<=\S) (?=\S)").split
 
-    def _model_ids(self, chunk: str) -> bytes:
-        """Ids of a chunk that the pre-tokenizer leaves in one piece (Latin letters only)."""
-        word = "".join(map(self.char_of.__getitem__, chunk.encode()))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+    def _library(self, chunks: list[str]) -> list[bytes]:
+        done = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in done]
+
+    def _model(self, piece: str) -> bytes:
+        """Ids of what the pre-tokenizer leaves in one piece."""
+        name = "".join(map(self.char_of.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(name)]).tobytes()
+
+    def _plain(self, chunk: str, lead: str) -> bytes:
+        """Ids of a chunk of Latin letters, signs and single line ends: one piece each, the first with the blank."""
+        first, *rest = _PIECE.findall(chunk)
+        known = self.cache if lead else self.pieces
+        ids = known.get(first)
+        if ids is None:
+            ids = known[first] = self._model(lead + first)
+        if not rest:
+            return ids
+        for piece in rest:
+            if piece not in self.pieces:
+                self.pieces[piece] = self._model(piece)
+        return b"".join([ids, *map(self.pieces.__getitem__, rest)])
+
+    def _ids(self, chunks: Iterable[str], lead: str) -> dict[str, bytes]:
+        """Ids of distinct chunks, all after ``lead`` (a blank or nothing)."""
+        out, hard = {}, []
+        for chunk in chunks:
+            if _PLAIN.fullmatch(chunk):
+                out[chunk] = self._plain(chunk, lead)
+            else:
+                hard.append(chunk)
+        out.update(zip(hard, self._library([lead + c for c in hard])))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         cache = self.cache
-        if len(cache) > CACHE_CHUNKS:
+        if len(cache) + len(self.pieces) > CACHE_CHUNKS:
             cache.clear()
+            self.pieces.clear()
         docs = [t.split(" ") for t in texts]
-        for d, parts in enumerate(docs):
-            if any(not p or ((p[0].isspace() or p[-1].isspace()) and p not in cache) for p in parts):
-                docs[d] = parts = self.split(texts[d])
-            # A cached chunk follows a blank; only the first of a text does not.
-            docs[d] = ["\0" + parts[0], *(" " + p for p in parts[1:])]
-        new = list(set().union(*docs).difference(cache))
-        hard = []
-        for key in new:
-            if len(key) < 64 and key[1:].isalpha() and max(key) < "ɐ":
-                cache[key] = self._model_ids(key[1:] if key[0] == "\0" else key)
-            else:
-                hard.append(key)
-        done = self.tokenizer.encode_batch_fast([k[1:] if k[0] == "\0" else k for k in hard],
-                                                add_special_tokens=False)
-        cache.update((k, np.array(e.ids, "<u4").tobytes()) for k, e in zip(hard, done))
-        return [b"".join(map(cache.__getitem__, parts)) for parts in docs]
+        heads = self._ids({parts[0] for parts in docs}, "")
+        new = set().union(*docs).difference(cache)
+        # A blank beside white space is no boundary: such texts are split at safe blanks only.
+        odd = {c for c in new if not c or c[0].isspace() or c[-1].isspace()}
+        if odd:
+            redo = [d for d, parts in enumerate(docs) if not odd.isdisjoint(parts)]
+            for d in redo:
+                docs[d] = self.split(texts[d])
+            heads.update(self._ids({docs[d][0] for d in redo}, ""))
+            new = set().union(*(docs[d] for d in redo), new - odd).difference(cache)
+        cache.update(self._ids(new, " "))
+        return [b"".join([heads[parts[0]], *map(cache.__getitem__, parts[1:])]) for parts in docs]
 
 
 @lru_cache(maxsize=1)
