@@ -86,7 +86,8 @@ class Vocabulary:
     def _viterbi(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of every distinct word; what holds for a shared prefix is computed once."""
         out: dict[str, bytes] = {}
-        best, paths = [0.0], [b""]   # forward score and ids of the best segmentation, by end position
+        # By end position: forward score, start and ids of the last piece of the best segmentation.
+        best, back, tail = [0.0], [0], [b""]
         find, last = self.pieces.get, ""
         for word in sorted(words):
             shared = 0
@@ -94,7 +95,7 @@ class Vocabulary:
                 if a != b:
                     break
                 shared += 1
-            del best[shared + 1:], paths[shared + 1:]
+            del best[shared + 1:], back[shared + 1:], tail[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
                 start = at = end - 1
                 hit = find(word[start], False)
@@ -106,8 +107,13 @@ class Vocabulary:
                     if hit and best[start] + hit[0] >= top:
                         top, at, piece = best[start] + hit[0], start, hit
                 best.append(top)
-                paths.append(paths[at] + piece[1])
-            out[word] = paths[-1]
+                back.append(at)
+                tail.append(piece[1])
+            end, ids = len(word), []
+            while end:
+                ids.append(tail[end])
+                end = back[end]
+            out[word] = b"".join(ids[::-1])
             last = word
         return out
 

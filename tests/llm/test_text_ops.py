@@ -277,6 +277,25 @@ def test_words_match_plain_viterbi(vocabulary, rows):
     assert vocabulary.cut and vocabulary._viterbi(words) == vocabulary.encode_words(words)
 
 
+def test_long_runs_take_memory_linear_in_their_length(vocabulary):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    runs = ["".join(map(chr, rng.integers(0x4E00, 0x9FA6, 200_000))),
+            "".join(map(chr, rng.integers(ord("a"), ord("z") + 1, 200_000)))]
+    for run in runs:
+        tracemalloc.start()
+        try:
+            # Grows with the square of the length or not: seen on a tenth, before the whole run is tried.
+            vocabulary.encode(run[:20_000])
+            assert tracemalloc.get_traced_memory()[1] < 20_000 * 1000
+        finally:
+            tracemalloc.stop()
+        ids = vocabulary.encode(run)
+        assert vocabulary.decode(ids) == run
+        assert ids[:100] == vocabulary.encode(run[:2000])[:100]
+
+
 def test_segmentations_match_the_library_lattice(vocabulary, rows):
     """The same vocabulary loaded as a unigram model: its lattice's best path has the same score."""
     import sentencepiece
