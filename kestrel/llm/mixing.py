@@ -9,7 +9,11 @@ A document's gradient depends on its posterior and one residual per domain only,
 iteration is one distributed sum of ``len(DOMAINS)`` numbers, and a rate is a fold over the
 short list of steps: it is recomputed from the posterior wherever it is needed and no
 per-document state is kept or collected. Steps are taken in the token-weighted norm with
-step length 1 / L, L the largest eigenvalue of the (domains x domains) moment matrix.
+step length 1 / L, L the largest eigenvalue of the (domains x domains) moment matrix. Where
+these are too slow, implicit steps follow: the residual is the one after the step, found by
+Newton's method on its three numbers, so that a step may be as long as it likes. The fit ends
+when every domain is within ``TOLERANCE`` of its own target, or warns that this cannot be met
+(``Fit.met``): then the totals are the least-squares ones.
 
 The classifier is fitted on a bounded sample (``SAMPLE`` labelled documents by a hash of
 doc_id): multinomial logistic regression over ``WORDS`` selected words (presence) and a few
@@ -25,6 +29,7 @@ empty result; extra columns are kept by ``select_mixed``.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +45,8 @@ DOMAINS = ("good", "plain", "toxic")
 TARGET = {"good": 0.93, "plain": 0.065, "toxic": 0.005}
 ANCHOR, HEADROOM = "good", 1.03
 SAMPLE, WORDS, LEAST_DOCS, MOST_SHARE = 8000, 1024, 4, 0.1
-ROUNDS, TOLERANCE, PROGRESS = 60, 1e-3, 1e-4
+ROUNDS, TOLERANCE = 60, 0.01   # plain steps at most; largest error of a domain relative to its own target
+LONGEST, NEWTON = (1e4, 1e6, 1e8, 1e10), 60   # lengths of the implicit steps; Newton rounds for one at most
 SHAPE = 6
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -200,16 +206,21 @@ def rate_of(steps: list[list[float]]):
     return run
 
 
-def _totals(posteriors: DataFrame, steps: list[list[float]]) -> np.ndarray:
-    """Expected domain tokens at the rates after ``steps``: one row per batch, then one sum."""
+def _totals(posteriors: DataFrame, steps: list[list[float]]) -> tuple[np.ndarray, float, np.ndarray]:
+    """At the rates after ``steps``: expected domain tokens, half the squared rates, moments of the rows with a rate."""
+    k = len(DOMAINS)
+    names = [f"x{i}" for i in range(k + 1 + k * k)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p, t = _matrix(b.column("p")), b.column("n_tokens").to_numpy(zero_copy_only=False)
-            s = (rates(p, steps) * t) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in s], list(DOMAINS))
+            p, t = _matrix(b.column("p")), b.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
+            r = rates(p, steps)
+            s = [*((r * t) @ p), r @ (r * t) / 2, *((p * (t * (r > 0))[:, None]).T @ p).ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in s], names)
 
-    sums = posteriors.select("n_tokens", "p").mapInArrow(run, ", ".join(f"{d} double" for d in DOMAINS))
-    return np.array([x or 0.0 for x in sums.agg(*(F.sum(d) for d in DOMAINS)).first()])
+    sums = posteriors.select("n_tokens", "p").mapInArrow(run, ", ".join(f"{n} double" for n in names))
+    x = np.array([v or 0.0 for v in sums.agg(*(F.sum(n) for n in names)).first()])
+    return x[:k], float(x[k]), x[k + 1:].reshape(k, k)
 
 
 @dataclass
@@ -219,9 +230,44 @@ class Fit:
     target: np.ndarray
     reached: np.ndarray
 
+    @property
+    def met(self) -> bool:
+        """Every domain is within ``TOLERANCE`` of its own target."""
+        return _met(self.reached, self.target)
+
+
+def _met(reached: np.ndarray, goal: np.ndarray) -> bool:
+    return bool((np.abs(reached - goal) <= TOLERANCE * goal).all())
+
+
+def _implicit(posteriors: DataFrame, steps: list[list[float]], goal: np.ndarray, total: float, w: np.ndarray,
+              length: float) -> tuple[list[float], np.ndarray]:
+    """The step s = length * w * residual after s, and what it reaches; shorter where that already meets the targets.
+
+    s minimises a convex function of three numbers; its gradient and curvature are sums over
+    the documents, one job each for a round.
+    """
+    s = np.zeros(len(w))
+
+    def at(s: np.ndarray):
+        reached, half, moment = _totals(posteriors, [*steps, s.tolist()])
+        return (half + goal @ s) / total + (s * s / w).sum() / (2 * length), reached, moment / total
+
+    value, reached, moment = at(s)
+    for _ in range(NEWTON):
+        gradient = s / (length * w) - (reached - goal) / total
+        if _met(reached, goal) or np.abs(np.sqrt(w) * gradient).max() < 1e-7:
+            break
+        way = -np.linalg.solve(moment + np.diag(1 / (length * w)), gradient)
+        share = 1.0
+        while (new := at(s + share * way))[0] > value + 1e-4 * share * (gradient @ way) and share > 1e-6:
+            share /= 2
+        s, (value, reached, moment) = s + share * way, new
+    return s.tolist(), reached
+
 
 def fit_rates(posteriors: DataFrame, target: dict[str, float] | None = None, rounds: int = ROUNDS) -> Fit:
-    """Projected-gradient least squares over (n_tokens, p); every round is one distributed sum."""
+    """Projected-gradient least squares over (n_tokens, p); every round is one distributed sum (or a few)."""
     weight = np.array([(target or TARGET)[d] for d in DOMAINS])
     weight = weight / weight.sum()
     k = range(len(DOMAINS))
@@ -242,13 +288,29 @@ def fit_rates(posteriors: DataFrame, target: dict[str, float] | None = None, rou
     steps: list[list[float]] = []
     reached = natural
     for _ in range(rounds):
-        residual = (reached - goal) / total
-        if np.abs(reached - goal).max() <= TOLERANCE * goal.sum():
+        if _met(reached, goal):
             break
+        residual = (reached - goal) / total
         steps.append((step * w * residual).tolist())
-        before, reached = reached, _totals(posteriors, steps)
-        if np.abs(reached - before).max() <= PROGRESS * total:
+        before, reached = reached, _totals(posteriors, steps)[0]
+        missed = np.maximum(np.abs(reached - goal) - TOLERANCE * goal, 0)
+        if (missed > ROUNDS * np.abs(reached - before)).any():   # more than as many rounds away at this pace
+            break
+    error = lambda x: (w * ((x - goal) / total) ** 2).sum()
+    for length in LONGEST:
+        if _met(reached, goal):
+            break
+        found, after = _implicit(posteriors, steps, goal, total, w, length)
+        if not (_met(after, goal) or error(after) < error(reached)):
+            break
+        steps.append(found)
+        before, reached = reached, after
+        if error(reached) > 0.99 * error(before):   # as small as it gets
             break
+    if not _met(reached, goal):
+        warnings.warn("mixing: target tokens " + ", ".join(
+            f"{d} {g:.0f} (reached {x:.0f})" for d, g, x in zip(DOMAINS, goal, reached))
+            + ": no nonnegative rates were found that meet them", stacklevel=2)
     return Fit(steps, natural, goal, reached)
 
 

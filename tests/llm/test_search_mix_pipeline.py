@@ -99,6 +99,26 @@ def test_rates_match_brute_force_and_meet_the_targets(spark):
     assert np.allclose(got.reached, (want * t) @ p)
 
 
+@pytest.mark.parametrize("sharpness", [1, 3, 8])
+def test_every_domain_meets_its_own_production_target(spark, sharpness):
+    """Soft to nearly hard posteriors; toxic's target is small beside the others."""
+    rng = np.random.default_rng(7)
+    z = np.eye(3)[rng.choice(3, 20_000, p=[0.6, 0.29, 0.11])] * sharpness + rng.normal(0, 1, (20_000, 3))
+    p, t = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True), rng.integers(1, 3000, 20_000)
+    df = spark.createDataFrame(list(zip(t.tolist(), p.tolist())), "n_tokens long, p array<double>")
+    got = M.fit_rates(df)
+    rates = M.rates(p, got.steps)
+    assert (rates >= 0).all() and np.allclose((rates * t) @ p, got.reached)
+    assert np.abs(got.reached / got.target - 1).max() <= 0.01 and got.met
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    df = spark.createDataFrame([(10, [0.5, 0.3, 0.2])] * 50, "n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="toxic"):
+        got = M.fit_rates(df)
+    assert not got.met and np.allclose(got.reached, 500 * M.rates(np.array([[0.5, 0.3, 0.2]]), got.steps) * [0.5, 0.3, 0.2])
+
+
 def test_mixing_learns_the_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rated, fit, _ = M.mix(docs, labels)
