@@ -113,6 +113,20 @@ def test_language_cases(spark, make_docs):
     assert I.identify(make_docs([])).collect() == []
 
 
+JUNK = ["asdkjh qwlkj zxmcn qpwoei lkjasd mnbzxc qwepoi", "xkcd zzzz qqqq vvvv wwww kkkk", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ",
+        "for (int i = 0; i < n; ++i) { a[i] += b[i]; }", "Это русский текст о погоде и природе в нашей стране",
+        "この文章は日本語で書かれています", "to jest polski tekst o pogodzie w naszym kraju"]
+
+
+@pytest.mark.parametrize("languages", [("de", "en"), ("de", "en", "fr"), ("de", "en", "es", "fr")])
+def test_unclear_languages_are_rejected(spark, make_docs, languages):
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.col("lang").isin(*languages))
+    junk = make_docs([(10**9 + i, t, None) for i, t in enumerate(JUNK)]).select(clean.columns)
+    kept = {r.doc_id for r in I.known_language(clean.unionByName(junk)).select("doc_id").collect()}
+    assert max(kept) < 10**9
+    assert len(kept) >= 0.985 * clean.count()
+
+
 # --- token files --------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
