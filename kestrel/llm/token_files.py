@@ -113,15 +113,20 @@ class ChunkEncoder:
     """Whole-text ids through a cache of chunks.
 
     The byte-level pre-tokenizer always starts a new piece at a blank that stands between
-    two non-blank characters, so a text's ids are its chunks' ids in a row.
+    two non-blank characters, so a text's ids are its chunks' ids in a row. With ``special``,
+    the library's default, the string of an added token is that token: a text that holds one
+    goes through the library whole. Otherwise such a string is ordinary text.
     """
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True   # their strings in a text are ordinary text
+        if not special:
+            self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.added = re.compile("|".join(added)).search if added else None
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         self.char_of = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -165,6 +170,19 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
+        whole = [i for i, t in enumerate(texts) if self.added(t)] if self.added else []
+        if not whole:
+            return self._encode(texts)
+        # The empty text stands in for them.
+        rest = list(texts)
+        for i in whole:
+            rest[i] = ""
+        out = self._encode(rest)
+        for i, ids in zip(whole, self._library([texts[i] for i in whole])):
+            out[i] = ids
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
         if len(cache) + len(self.pieces) > CACHE_CHUNKS:
             cache.clear()
@@ -186,7 +204,7 @@ class ChunkEncoder:
 
 @lru_cache(maxsize=1)
 def _encoder(tokenizer_json: str) -> ChunkEncoder:
-    return ChunkEncoder(tokenizer_json)
+    return ChunkEncoder(tokenizer_json, special=True)
 
 
 def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = END_ID) -> DataFrame:

@@ -189,6 +189,23 @@ def test_token_files_query(spark, rows, tokenizer):
     assert len(got) == len(rows)
 
 
+def test_added_tokens_in_a_text_are_those_of_the_library_as_loaded(spark, make_docs, rows, tmp_path):
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(public_tokenizers.path(W.TOKENIZER))
+    odd = [*ODD, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  <|endoftext|>\n", "<|endoftext |>", "a <|endoftext|"]
+    want = {i: loaded.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(odd, 1)}
+    assert 50256 in want[len(ODD) + 1]
+    path = str(tmp_path / "files")
+    manifest = W.write_token_files(make_docs(odd), loaded.to_str(), path)
+    assert {r.doc_id: r.ids[:-1] for r in W.read_token_files(manifest, path).collect()} == want
+    enc = W.ChunkEncoder(loaded.to_str(), special=True)
+    texts = [t or "" for t in odd] + [r.text for r in rows.values()]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [
+            loaded.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_cases(spark, make_docs, tokenizer, tmp_path):
     docs = make_docs([(5, "five"), (2, None), (None, "none"), (5, "five"), (9, "")])
     path = str(tmp_path / "files")
