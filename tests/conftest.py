@@ -1,4 +1,3 @@
-import datetime as dt
 import sys
 import tempfile
 from pathlib import Path
@@ -7,8 +6,6 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -25,27 +22,3 @@ def spark():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kestrel-test-ckpt-"))
     apply_runtime_defaults(s)
     yield s
-
-
-def d(s: str) -> dt.date:
-    return dt.date.fromisoformat(s)
-
-
-def bars(spark, rows):
-    """rows: (ticker, 'YYYY-MM-DD', adj_close[, high, low, close, volume])."""
-    out = []
-    for r in rows:
-        t, day, p = r[0], d(r[1]), r[2]
-        high = r[3] if len(r) > 3 else (None if p is None else p * 1.01)
-        low = r[4] if len(r) > 4 else (None if p is None else p * 0.99)
-        close = r[5] if len(r) > 5 else p
-        vol = r[6] if len(r) > 6 else 1000
-        out.append((t, day, p, high, low, close, p, vol))
-    return spark.createDataFrame(
-        out, "ticker string, date date, open double, high double, low double, close double, "
-             "adj_close double, volume bigint")
-
-
-def series_dates(n, start="2020-01-01"):
-    s = d(start)
-    return [(s + dt.timedelta(days=i)).isoformat() for i in range(n)]

@@ -5,7 +5,7 @@ import random
 import duckdb
 import pandas as pd
 
-from conftest import series_dates
+from helpers import series_dates
 from kestrel.operators.correlation import correlation_matrix
 
 AS_OF = dt.date(2020, 12, 31)

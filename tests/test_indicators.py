@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from conftest import bars, series_dates
+from helpers import bars, series_dates
 from kestrel.operators import indicators as ind
 
 

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from kestrel.operators.quantiles import exact_quantiles
 from kestrel.plans.context import Market
 
@@ -41,5 +41,5 @@ def test_correlation_symmetric_unit_diagonal(m):
        st.sampled_from([0.0, 0.1, 1 / 3, 0.5, 0.9, 1.0]))
 def test_exact_quantiles_property(spark, values, p):
     df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
-    got = exact_quantiles(df, ["g"], "v", [p], buckets=4, max_candidates=8).first().quantile
+    got = exact_quantiles(df, ["g"], "v", [p], buckets=4).first().quantile
     assert got == pytest.approx(float(np.quantile(np.array(values), p)), rel=1e-9, abs=1e-9)

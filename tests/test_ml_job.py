@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from kestrel.operators import ml
 from kestrel.plans import job, named
 from kestrel.plans.context import Market

@@ -3,7 +3,7 @@ import math
 
 import pytest
 
-from conftest import bars, series_dates
+from helpers import bars, series_dates
 from kestrel.operators import portfolio as pf
 from kestrel.sources.adapters import PERIODS_SCHEMA
 

@@ -2,7 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import bars, series_dates
+from helpers import bars, series_dates
 from kestrel.operators.returns import returns_daily, returns_monthly
 from kestrel.operators.risk import drawdown_daily, risk_panel, rolling_sharpe, rolling_volatility
 

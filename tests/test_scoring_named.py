@@ -37,7 +37,7 @@ def test_query_by_name_unknown_lists_names(spark):
 
 def test_named_queries_with_latest_date(spark):
     """as_of=None: every named query resolves "today" as the latest date inside its plan."""
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
     from kestrel.plans.context import Market
     m = Market(spark, SF_SMALL, as_of=None, index_as_of=None)
     for name, fn in N.NAMED.items():

@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from kestrel.operators import portfolio as pf
 from kestrel.plans.sql_surface import register_sql
 from kestrel.sources import adapters
