@@ -88,3 +88,10 @@ def local_uri(path: str) -> str:
     if path.startswith("/"):
         return "file://" + path
     return re.sub(r"^file:/+", "file:///", path)
+
+
+def sorted_rows(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``; equal rows may be dealt to several tasks."""
+    tied = [*order, F.col("__tie")]
+    return (df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*tied)
+            .sortWithinPartitions(*tied).drop("__tie"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kestrel.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from kestrel.llm.language_id import op5_language_id
 from kestrel.llm.line_dedup import OP4_SQL, op4_line_dedup
+from kestrel.llm.merkle import OP12_SQL, op12_merkle
 from kestrel.llm.mixing import op1_mix
 from kestrel.llm.pii import op9_pii
 from kestrel.llm.sentencepiece_codec import op10_sentencepiece
@@ -20,5 +21,6 @@ from kestrel.llm.topk import OP3_SQL, op3_top_k
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix, op2_token_counts, op3_top_k, op4_line_dedup, op5_language_id, op6_token_files, op7_exact_dedup,
-        op8_simhash, op9_pii, op10_sentencepiece)}
-ORACLE_SQL = {"op3_top_k": OP3_SQL, "op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL}
+        op8_simhash, op9_pii, op10_sentencepiece, op12_merkle)}
+ORACLE_SQL = {"op3_top_k": OP3_SQL, "op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL,
+              "op12_merkle": OP12_SQL}
