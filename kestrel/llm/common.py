@@ -95,3 +95,11 @@ def sorted_rows(df: DataFrame, order: list[Column]) -> DataFrame:
     tied = [*order, F.col("__tie")]
     return (df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*tied)
             .sortWithinPartitions(*tied).drop("__tie"))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB: CRC-32 of an ASCII string, bit by bit: a byte, then eight shifts (-1)."""
+    steps = (f"flatten(list_transform(regexp_extract_all({text}, '.'), lambda c: [ascii(c)::BIGINT] || "
+             f"list_value({', '.join(['-1::BIGINT'] * 8)})))")
+    return (f"xor(list_reduce([4294967295::BIGINT] || {steps}, lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) "
+            f"ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from kestrel.llm.common import documents, local_uri, lower_ascii, shared_path, sorted_rows, store
+from kestrel.llm.common import crc32_sql, documents, local_uri, lower_ascii, shared_path, sorted_rows, store
 
 LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 FANOUT, LEVELS = 16, 3
@@ -367,13 +367,6 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(documents(spark, sf_dir), shared_path(spark, "merkle"))
 
 
-def _crc32_sql(text: str) -> str:
-    """CRC-32 of an ASCII string, bit by bit: a byte, then eight shifts (-1)."""
-    steps = f"flatten(list_transform(regexp_extract_all({text}, '.'), lambda c: [ascii(c)::BIGINT] || list_value({', '.join(['-1::BIGINT'] * 8)})))"
-    return (f"xor(list_reduce([4294967295::BIGINT] || {steps}, lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) "
-            f"ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)")
-
-
 def _tree_sql(name: str, leaves: str, levels: int) -> str:
     """Level tables ``name0..`` over ``leaves`` (tree, i, d): siblings ``l``, ``r`` and the level's size ``n``."""
     out = []
@@ -393,7 +386,7 @@ def _op12_sql(levels: int = 5, source_levels: int = 3) -> str:
         return "sha256(" + " || ".join(f"coalesce(octet_length(encode({p}))::VARCHAR || ':' || {p}, '-')" for p in parts) + ")"
 
     lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    hit = f"{_crc32_sql('CAST(doc_id AS VARCHAR)')} % {TAMPER_EVERY} = 0"
+    hit = f"{crc32_sql('CAST(doc_id AS VARCHAR)')} % {TAMPER_EVERY} = 0"
     joins, proof = [], []
     for name, last in (("a", levels), ("b", source_levels)):
         for h in range(last + 1):

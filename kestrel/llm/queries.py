@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kestrel.llm.conversation_repair import OP13_SQL, op13_conversation_repair
 from kestrel.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from kestrel.llm.language_id import op5_language_id
 from kestrel.llm.line_dedup import OP4_SQL, op4_line_dedup
@@ -21,6 +22,7 @@ from kestrel.llm.topk import OP3_SQL, op3_top_k
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix, op2_token_counts, op3_top_k, op4_line_dedup, op5_language_id, op6_token_files, op7_exact_dedup,
-        op8_simhash, op9_pii, op10_sentencepiece, op12_merkle)}
+        op8_simhash, op9_pii, op10_sentencepiece, op12_merkle,
+        op13_conversation_repair)}
 ORACLE_SQL = {"op3_top_k": OP3_SQL, "op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL,
-              "op12_merkle": OP12_SQL}
+              "op12_merkle": OP12_SQL, "op13_conversation_repair": OP13_SQL}
