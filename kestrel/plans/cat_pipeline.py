@@ -10,11 +10,14 @@ from pyspark.sql import types as T
 
 from kestrel.config import FEATURE_COLS, checkpoint_dir
 from kestrel.operators import ml
+from kestrel.operators.boosting import BoostedModel
 from kestrel.plans import job
 from kestrel.plans import named as N
+from kestrel.plans.context import BAR_SOURCES
 from kestrel.plans.oracle import AS_OF, INDEX_AS_OF, q
 from kestrel.plans.registry import register
 from kestrel.sources import adapters, ingest, sinks
+from kestrel.sources.store import source_signature
 from kestrel.sources.tables import read_table
 
 PRICE_FLOATS = ("open", "high", "low", "close", "adj_close")
@@ -173,21 +176,25 @@ FROM f JOIN t ON t.pos = f.train_size"""))(
     lambda m: ml.fold_bounds(ml.time_split(ml.load_features(m.features))[0]))
 
 
-_MODELS: dict[tuple, str] = {}   # (application, dataset, kind) -> folder of the fitted model
+_MODELS: dict[tuple, str] = {}   # (application, dataset, state of its files, kind) -> folder of the fitted model
 
 
 def _trained(m, lr: bool = False):
-    """(model, train, test); a model is fitted once per dataset and read back afterwards."""
+    """(model, train, test); a model is fitted once per state of a dataset and read back afterwards."""
     train, test = ml.time_split(ml.load_features(m.features))
     if lr:
         train, test = ml.standard_scale(train, train), ml.standard_scale(train, test)
-    key = (m.spark.sparkContext.applicationId, m.base, lr)
+    key = (m.spark.sparkContext.applicationId, m.base, source_signature(m.spark, m.base, BAR_SOURCES)[0], lr)
     if key not in _MODELS:
         rows = ml.materialize(train)
-        path = f"{checkpoint_dir(m.spark).rstrip('/')}/models/{'lr' if lr else 'rf'}-{uuid.uuid4().hex[:12]}"
-        (ml.logistic_baseline(rows) if lr else ml.tree_classifier(rows)).save(path)
+        path = f"{checkpoint_dir(m.spark).rstrip('/')}/models/{'lr' if lr else 'trees'}-{uuid.uuid4().hex[:12]}"
+        if lr:
+            ml.logistic_baseline(rows).save(path)
+        else:
+            ml.tree_classifier(rows).save(m.spark, path)
         _MODELS[key] = path
-    return PipelineModel.load(_MODELS[key]), train, test
+    model = PipelineModel.load(_MODELS[key]) if lr else BoostedModel.load(m.spark, _MODELS[key])
+    return model, train, test
 
 
 def _acc_frame(m, name, model, test):
@@ -196,8 +203,14 @@ def _acc_frame(m, name, model, test):
 
 
 register("logistic_baseline", None)(lambda m: _acc_frame(m, "logistic_regression", *_trained(m, lr=True)[::2]))
-register("tree_classifier", None)(lambda m: _acc_frame(m, "random_forest", *_trained(m)[::2]))
+register("tree_classifier", None)(lambda m: _acc_frame(m, "boosted_trees", *_trained(m)[::2]))
 register("generate_predictions", None)(lambda m: ml.generate_predictions(*_trained(m)[::2]))
+register("generated_rows", q(("ml_features",), """
+WITH d AS (SELECT * FROM ml_features WHERE regime IS NOT NULL),
+c AS (SELECT max(date) - INTERVAL 360 DAY AS cut FROM d)
+SELECT ticker, date, regime AS actual_regime, true AS probabilities_sum_to_1, true AS most_probable_predicted
+FROM d, c WHERE d.date > c.cut"""))(
+    lambda m: ml.prediction_checks(ml.generate_predictions(*_trained(m)[::2])))
 register("feature_importance", None)(lambda m: ml.feature_importance(m.spark, _trained(m)[0]))
 register("model_persist", q(("ml_features",), """
 WITH d AS (SELECT * FROM ml_features WHERE regime IS NOT NULL),
@@ -214,18 +227,33 @@ def _sweep(m):
 register("hyperparam_sweep", None)(_sweep)
 
 
+_SCORES: dict[tuple, list] = {}   # as _MODELS -> one row a fold
+
+
 def _walk_forward_scores(m):
+    key = (m.spark.sparkContext.applicationId, m.base, source_signature(m.spark, m.base, BAR_SOURCES)[0])
     train, _ = ml.time_split(ml.load_features(m.features))
-    return ml.walk_forward_scores(train)
+    if key not in _SCORES:
+        scores = ml.walk_forward_scores(train)
+        _SCORES[key] = scores.schema, scores.collect()
+    schema, rows = _SCORES[key]
+    return m.spark.createDataFrame(rows, schema)
 
 
 register("walk_forward_scores", None)(_walk_forward_scores)
+register("walk_forward_sizes", q(("ml_features",), """
+WITH d AS (SELECT * FROM ml_features WHERE regime IS NOT NULL),
+n AS (SELECT count(*) AS n, count(*) // 4 AS size FROM d WHERE date < (SELECT max(date) - INTERVAL 360 DAY FROM d))
+SELECT CAST(k AS INTEGER) AS fold, CAST(n - (4 - k) * size AS BIGINT) AS train_size, CAST(size AS BIGINT) AS test_size, true AS accuracy_is_a_share
+FROM n, (VALUES (1), (2), (3)) AS v(k)"""))(
+    lambda m: _walk_forward_scores(m).select("fold", "train_size", "test_size",
+                                             F.col("accuracy").between(0, 1).alias("accuracy_is_a_share")))
 
 
 def _baseline(m):
     lr_model, _, lr_test = _trained(m, lr=True)
-    rf_model, _, rf_test = _trained(m)
-    return ml.baseline_compare(ml.accuracy(lr_model, lr_test), ml.accuracy(rf_model, rf_test), m.spark)
+    model, _, test = _trained(m)
+    return ml.baseline_compare(ml.accuracy(lr_model, lr_test), ml.accuracy(model, test), m.spark)
 
 
 register("baseline_compare", None)(_baseline)
@@ -235,7 +263,7 @@ register("baseline_compare", None)(_baseline)
 
 def _refresh(m):
     root = f"{checkpoint_dir(m.spark).rstrip('/')}/refresh-{uuid.uuid4().hex[:12]}"
-    job.train_and_save(m.spark, m.prices, root)
+    job.save_model(m.spark, _trained(m)[0], root)
     return job.refresh_job(m.spark, lambda: adapters.raw_vendor_bars(m.spark, m.base),
                            lambda: adapters.raw_vendor_index(m.spark, m.base), m.stocks, _index_range(m), root) \
         .select("step", "status")

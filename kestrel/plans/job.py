@@ -13,9 +13,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.ml import PipelineModel
 
 from kestrel.operators import indicators, ml, scoring
+from kestrel.operators.boosting import BoostedModel
 from kestrel.operators.correlation import correlation_matrix
 from kestrel.operators.returns import returns_daily
 from kestrel.operators.risk import drawdown_daily, rolling_sharpe, rolling_volatility
@@ -32,17 +32,20 @@ def model_root(spark: SparkSession, root: str | None) -> str:
     return f"{sinks._root(spark, root)}/models"
 
 
-def train_and_save(spark: SparkSession, prices: DataFrame, root: str | None = None) -> str:
-    """Train the tree model on the time-split training rows and save it (L5 + L10)."""
-    data = ml.load_features(indicators.ml_features(prices))
-    train, _ = ml.time_split(data)
-    model = ml.tree_classifier(ml.materialize(train))
-    path = f"{model_root(spark, root)}/rf-{int(time.time() * 1e6)}"
-    model.write().overwrite().save(path)
+def save_model(spark: SparkSession, model: BoostedModel, root: str | None = None) -> str:
+    """Save a fitted model as the job's current one."""
+    path = f"{model_root(spark, root)}/trees-{int(time.time() * 1e6)}"
+    model.save(spark, path)
     sinks._set_current(spark, model_root(spark, root), path.rsplit("/", 1)[1])
     return path
 
 
+def train_and_save(spark: SparkSession, prices: DataFrame, root: str | None = None) -> str:
+    """Train the tree model on the time-split training rows and save it (L5 + L10)."""
+    train, _ = ml.time_split(ml.load_features(indicators.ml_features(prices)))
+    return save_model(spark, ml.tree_classifier(ml.materialize(train)), root)
+
+
 def refresh_job(spark: SparkSession, raw_bars: Callable[[], DataFrame], raw_index: Callable[[], DataFrame],
                 universe: DataFrame, index_range, root: str | None = None,
                 skip_ingest: bool = False, skip_ml: bool = False, raise_on_failure: bool = True) -> DataFrame:
@@ -87,7 +90,7 @@ def refresh_job(spark: SparkSession, raw_bars: Callable[[], DataFrame], raw_inde
                                                                sinks.ML_FEATURES_DDL, root)))
 
         def predictions() -> str:
-            model = PipelineModel.load(sinks.current_path(spark, "models", root))
+            model = BoostedModel.load(spark, sinks.current_path(spark, "models", root))
             feats = ml.load_features(sinks.read_current(spark, "ml_features", root))
             _, test = ml.time_split(feats)
             return sinks.drop_create(ml.generate_predictions(model, test), "ml_predictions",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from helpers import SF_SMALL
 from kestrel.operators import ml
+from kestrel.operators.boosting import Params
 from kestrel.plans import job, named
 from kestrel.plans.context import Market
 from kestrel.sources import adapters, ingest, sinks
@@ -37,14 +38,15 @@ def test_predictions_cover_the_test_rows(spark, split):
 
 
 def test_sweep_reports_every_configuration(split):
-    got = ml.hyperparam_sweep(*split, configs=[("default", {"numTrees": 5}), ("maxDepth=2", {"numTrees": 5, "maxDepth": 2})]).collect()
-    assert len(got) == 2 and sum(r.is_best for r in got) >= 1
+    got = ml.hyperparam_sweep(*split, configs=[("default", Params(rounds=5)), ("depth=2", Params(rounds=8, depth=2))]).collect()
+    assert [r.n_trees for r in sorted(got, key=lambda r: r.config)] == [5, 8] and sum(r.is_best for r in got) >= 1
+    assert all(r.best_n_trees_accuracy >= r.accuracy and r.best_n_trees <= r.n_trees for r in got)
 
 
 def test_incomplete_rows_are_an_error_not_dropped(spark, split):
     bad = split[0].limit(50).withColumn("ret_1d", F.lit(None).cast("double"))
     with pytest.raises(Exception, match="(?i)null|invalid"):
-        ml.tree_classifier(bad, numTrees=2)
+        ml.tree_classifier(bad, rounds=2)
 
 
 def test_ingest_drops_bars_without_a_close(spark):
