@@ -1,14 +1,11 @@
 """Technical-indicator features and volatility-regime labels (X1-X10), all tickers in one plan.
 
-Plan shape: one Window stage (shuffle on ticker, sort on date) computes the
-lagged returns, rolling std/mean features and the target; the recursive
-indicators (Wilder ATR, RSI, MACD) run in ``applyInPandas`` grouped by
-ticker, which reuses the window's hash partitioning (no second shuffle);
-the per-ticker tertiles are window aggregates over the same partitioning,
-computed before the pandas step (its output attributes are new, so a window
-after it would shuffle again).
-A ticker group holds one row per trading day, so its size is bounded by the
-calendar (decades of history are a few thousand rows), never by data volume.
+Plan shape: one Window stage per ticker computes the lagged returns, rolling
+std/mean features and the target; the per-ticker tertiles are window aggregates
+over the same partitioning; the recursive indicators (Wilder ATR, RSI, MACD)
+are folds over (ticker, year) blocks with carried block summaries (scan.py).
+Everything runs in the JVM. For series too long for one task the window stage
+can run per block with a halo (``scan.in_blocks``).
 
 Indicator recipes (fixed, the publicly documented definitions):
   RSI(14):   diff of price; up = max(diff, 0), down = max(-diff, 0), first row 0;
@@ -23,14 +20,12 @@ Indicator recipes (fixed, the publicly documented definitions):
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kestrel.config import DROPNA_COLS, SQRT_252
 from kestrel.functions.exprs import by_ticker, full_window, log_return, safe_ratio, trailing
+from kestrel.operators.scan import BLOCK_DAYS, scan
 
 RSI_N, ATR_N = 14, 14
 MACD_FAST, MACD_SLOW, MACD_SIGN = 12, 26, 9
@@ -77,57 +72,82 @@ def window_features(prices: DataFrame, forward_target: bool = False) -> DataFram
         full_window(safe_ratio(F.col("volume").cast("double"), vol_m20), F.col("volume"), 20, f20)
         .alias("volume_ratio"),
         F.when(F.count(lr).over(tw) == 5, F.avg(F.abs(lr)).over(tw)).alias("abs_return_next"),
-        tr.alias("true_range"),
+        tr.alias("true_range"), F.col("_p1").alias("prev_adj_close"),
     )
 
 
-# ---- recursive indicators (pandas, one ticker at a time) -----------------------
+# ---- recursive indicators (block folds, see scan.py) ------------------------------
 
-def _ema(s: pd.Series, span: int) -> pd.Series:
-    return s.ewm(span=span, min_periods=span, adjust=False).mean()
+def _alpha(span: int) -> Column:
+    return F.lit(2.0) / F.lit(float(span + 1))
 
 
-def _rsi(price: pd.Series, n: int = RSI_N) -> pd.Series:
-    diff = price.diff(1)
-    up = diff.where(diff > 0, 0.0)
-    down = -diff.where(diff < 0, 0.0)
-    eu = up.ewm(alpha=1 / n, min_periods=n, adjust=False).mean()
-    ed = down.ewm(alpha=1 / n, min_periods=n, adjust=False).mean()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rsi = np.where(ed == 0, 100.0, 100 - (100 / (1 + eu / ed)))
-    return pd.Series(rsi, index=price.index).where(ed.notna())
+def _zero() -> Column:
+    return F.lit(0.0)
 
 
-def _atr(tr: np.ndarray, n: int = ATR_N) -> np.ndarray:
-    """Wilder's mean: the plain mean of the first n rows, then an EWM with alpha 1/n; 0 before."""
-    out = np.zeros(len(tr))
-    if len(tr) >= n:
-        seeded = pd.Series(np.concatenate([[tr[:n].mean()], tr[n:]]))
-        out[n - 1:] = seeded.ewm(alpha=1 / n, adjust=False).mean()
-    return out
+def add_recursive_indicators(wf: DataFrame, days: int = BLOCK_DAYS) -> DataFrame:
+    """X5-X7; passes every input column through.
 
-
-def _recursive_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("date", kind="mergesort").reset_index(drop=True)
-    price = pdf["adj_close"].astype("float64")
-    atr = _atr(pdf["true_range"].astype("float64").to_numpy())
-    close = pdf["close"].astype("float64").to_numpy()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pdf["atr_14"] = np.where(close != 0, atr / close, np.nan)
-    pdf["rsi_14"] = _rsi(price)
-    macd = _ema(price, MACD_FAST) - _ema(price, MACD_SLOW)
-    signal = macd.ewm(span=MACD_SIGN, min_periods=MACD_SIGN, adjust=False).mean()
-    pdf["macd"] = macd
-    pdf["macd_signal"] = signal
-    pdf["macd_diff"] = macd - signal
-    return pdf
-
-
-def add_recursive_indicators(wf: DataFrame) -> DataFrame:
-    """X5-X7 via ``groupBy(ticker).applyInPandas``; passes every input column through."""
-    extra = [T.StructField(c, T.DoubleType()) for c in ("atr_14", "rsi_14", "macd", "macd_signal", "macd_diff")]
-    schema = T.StructType(list(wf.schema.fields) + extra)
-    return wf.groupBy("ticker").applyInPandas(_recursive_block, schema)
+    State: fast and slow mean, signal, mean gain and loss, sum of the first true ranges, ATR. A
+    block's summary also holds the factor its start state enters each of them with; signal takes
+    in the two means, the ATR the sum.
+    """
+    fast, slow, sign = _alpha(MACD_FAST), _alpha(MACD_SLOW), _alpha(MACD_SIGN)
+    rsi, start = F.lit(1.0) / F.lit(float(RSI_N)), MACD_SLOW - 1
+    names = ("fast", "slow", "signal", "gain", "loss", "ranges", "atr")
+    factors = {"f_fast": F.lit(1.0), "f_slow": F.lit(1.0), "f_signal": F.lit(1.0), "fast_in": _zero(), "slow_in": _zero(),
+               "f_rsi": F.lit(1.0), "f_atr": F.lit(1.0), "ranges_in": _zero()}
+
+    def step(s: Column, r: Column, i: Column) -> dict[str, Column]:
+        def mean(name: str, factor: str, alpha: Column, x: Column) -> tuple[Column, Column]:
+            return (F.when(i == 0, x).otherwise((1 - alpha) * s[name] + alpha * x),
+                    F.when(i == 0, 0.0).otherwise((1 - alpha) * s[factor]))
+
+        def after(at: int, before: Column, here: Column, later: Column) -> Column:
+            return F.when(i < at, before).when(i == at, here).otherwise(later)
+
+        x, diff, tr = r["adj_close"], F.coalesce(r["_diff"], _zero()), r["true_range"]
+        e_fast, f_fast = mean("fast", "f_fast", fast, x)
+        e_slow, f_slow = mean("slow", "f_slow", slow, x)
+        macd = e_fast - e_slow
+        ranges = F.when(i < ATR_N, s["ranges"] + tr).otherwise(s["ranges"])
+        return {
+            "fast": e_fast, "slow": e_slow,
+            "signal": after(start, _zero(), macd, (1 - sign) * s["signal"] + sign * macd),
+            "gain": F.when(i == 0, 0.0).otherwise((1 - rsi) * s["gain"] + rsi * F.when(diff > 0, diff).otherwise(0.0)),
+            "loss": F.when(i == 0, 0.0).otherwise((1 - rsi) * s["loss"] + rsi * F.when(diff < 0, -diff).otherwise(0.0)),
+            "ranges": ranges,
+            "atr": after(ATR_N - 1, _zero(), ranges / ATR_N, (s["atr"] * (ATR_N - 1) + tr) / ATR_N),
+            "f_fast": f_fast, "f_slow": f_slow,
+            "f_signal": F.when(i <= start, 0.0).otherwise((1 - sign) * s["f_signal"]),
+            "fast_in": after(start, _zero(), f_fast, (1 - sign) * s["fast_in"] + sign * f_fast),
+            "slow_in": after(start, _zero(), f_slow, (1 - sign) * s["slow_in"] + sign * f_slow),
+            "f_rsi": F.when(i == 0, 0.0).otherwise((1 - rsi) * s["f_rsi"]),
+            "f_atr": F.when(i < ATR_N, 0.0).otherwise(s["f_atr"] * (ATR_N - 1) / ATR_N),
+            "ranges_in": after(ATR_N - 1, _zero(), F.lit(1.0) / ATR_N, s["ranges_in"] * (ATR_N - 1) / ATR_N),
+        }
+
+    def compose(c: Column, b: Column) -> dict[str, Column]:
+        return {
+            "fast": b["f_fast"] * c["fast"] + b["fast"], "slow": b["f_slow"] * c["slow"] + b["slow"],
+            "signal": b["f_signal"] * c["signal"] + b["fast_in"] * c["fast"] - b["slow_in"] * c["slow"] + b["signal"],
+            "gain": b["f_rsi"] * c["gain"] + b["gain"], "loss": b["f_rsi"] * c["loss"] + b["loss"],
+            "ranges": c["ranges"] + b["ranges"],
+            "atr": b["f_atr"] * c["atr"] + b["ranges_in"] * c["ranges"] + b["atr"],
+        }
+
+    # The difference to the row before comes with the row: a block's first row has its in another block.
+    rows = wf.withColumn("_diff", F.col("adj_close") - F.col("prev_adj_close"))
+    out = scan(rows, {n: _zero() for n in names}, factors, step, compose, ["fast", "slow", "signal", "gain", "loss", "atr"], days=days)
+    i, macd, signal = F.col("_i"), F.col("fast") - F.col("slow"), F.col("signal")
+    ready = i >= start + MACD_SIGN - 1
+    return out.select(
+        *wf.columns,
+        F.when(F.col("close") != 0, F.col("atr") / F.col("close")).alias("atr_14"),
+        F.when(i < RSI_N - 1, None).when(F.col("loss") == 0, 100.0)
+        .otherwise(100 - (100 / (1 + F.col("gain") / F.col("loss")))).alias("rsi_14"),
+        F.when(i >= start, macd).alias("macd"), F.when(ready, signal).alias("macd_signal"), F.when(ready, macd - signal).alias("macd_diff"))
 
 
 # ---- labels ----------------------------------------------------------------------
@@ -152,8 +172,7 @@ def add_regime(df: DataFrame, target: str = "abs_return_next", min_labelled: int
 
 def feature_frame(prices: DataFrame, forward_target: bool = False) -> DataFrame:
     """Every bar with all features, target and regime (before the null filter)."""
-    # Regime (window aggregate) before the pandas step: both reuse the ticker
-    # partitioning of the first window, so the whole pipeline has one shuffle.
+    # Regime (a window aggregate) reuses the ticker partitioning of the first window.
     return add_recursive_indicators(add_regime(window_features(prices, forward_target)))
 
 
@@ -163,20 +182,23 @@ def ml_features(prices: DataFrame, forward_target: bool = False) -> DataFrame:
 
 
 def ewm_means(df: DataFrame, value: str = "adj_close", spans: tuple[int, ...] = (12, 26),
-              key: str = "ticker", order: str = "date") -> DataFrame:
+              key: str = "ticker", order: str = "date", days: int = BLOCK_DAYS) -> DataFrame:
     """Exponentially weighted means (adjust=False, ``span`` rows required) per key.
 
-    Linear-time recursion per key with pandas inside ``applyInPandas``; a key
-    holds one row per day, so a group is bounded by the calendar.
+    A null value leaves the means as they are.
     """
-    names = [f"ema_{s}" for s in spans]
+    names = {f"ema_{s}": s for s in spans}
+
+    def step(s: Column, r: Column, i: Column) -> dict[str, Column]:
+        x, out = r[value], {}
+        for name, span in names.items():
+            a = _alpha(span)
+            out[name] = F.when(i == 0, x).when(x.isNull(), s[name]).otherwise((1 - a) * s[name] + a * x)
+            out[f"f_{name}"] = F.when(i == 0, 0.0).when(x.isNull(), s[f"f_{name}"]).otherwise((1 - a) * s[f"f_{name}"])
+        return out
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
-        x = pdf[value].astype("float64")
-        for s, n in zip(spans, names):
-            pdf[n] = _ema(x, s)
-        return pdf
+    def compose(c: Column, b: Column) -> dict[str, Column]:
+        return {n: b[f"f_{n}"] * c[n] + b[n] for n in names}
 
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(n, T.DoubleType()) for n in names])
-    return df.groupBy(key).applyInPandas(block, schema)
+    out = scan(df, {n: _zero() for n in names}, {f"f_{n}": F.lit(1.0) for n in names}, step, compose, list(names), key, order, days)
+    return out.select(*df.columns, *(F.when(F.col("_i") >= span - 1, F.col(n)).alias(n) for n, span in names.items()))

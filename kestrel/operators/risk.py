@@ -3,6 +3,8 @@
 All frames share ``partitionBy(ticker).orderBy(date)`` so Catalyst plans a
 single Window operator over one shuffle and one sort for every column.
 SQL semantics: partial windows are emitted (a value from two observations on).
+
+The ``_in_blocks`` forms give the same rows for series that are too long for one task.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from kestrel.config import DAILY_RF, SQRT_252, TRADING_DAYS
 from kestrel.functions.exprs import running, safe_ratio, trailing
 from kestrel.operators.returns import returns_daily
+from kestrel.operators.scan import BLOCK_DAYS, BLOCK_ROWS, in_blocks, running_in_blocks
 
 
 def rolling_volatility(prices: DataFrame, returns: DataFrame | None = None) -> DataFrame:
@@ -54,6 +57,22 @@ def drawdown_daily(prices: DataFrame) -> DataFrame:
     )
 
 
+def volatility_in_blocks(prices: DataFrame, block_rows: int = BLOCK_ROWS, days: int = BLOCK_DAYS) -> DataFrame:
+    """``rolling_volatility`` with no window longer than a block and its halo: 59 returns, 60 bars."""
+    return in_blocks(prices.select("ticker", "date", "adj_close"), rolling_volatility, 60, block_rows, days=days)
+
+
+def sharpe_in_blocks(prices: DataFrame, block_rows: int = BLOCK_ROWS, days: int = BLOCK_DAYS) -> DataFrame:
+    return in_blocks(prices.select("ticker", "date", "adj_close"), rolling_sharpe, 60, block_rows, days=days)
+
+
+def drawdown_in_blocks(prices: DataFrame, days: int = BLOCK_DAYS) -> DataFrame:
+    """``drawdown_daily`` by a two-level running maximum."""
+    d = running_in_blocks(prices.select("ticker", "date", "adj_close"), "running_max", F.max, F.col("adj_close"), F.greatest, days=days)
+    return d.select("ticker", "date", "adj_close", "running_max",
+                    safe_ratio(F.col("adj_close") - F.col("running_max"), F.col("running_max")).alias("drawdown"))
+
+
 def risk_panel(prices: DataFrame) -> DataFrame:
     """Returns, volatility, Sharpe and drawdown for every bar in ONE Window operator.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kestrel.operators import risk
 from kestrel.operators.returns import month_end, returns_monthly
 from kestrel.plans import named as N
 from kestrel.plans.oracle import AS_OF, INDEX_AS_OF, TICKER, q
@@ -42,6 +43,18 @@ register("rolling_sharpe", q(("rolling_sharpe",), "SELECT * FROM rolling_sharpe"
 register("drawdown_daily", q(("drawdown_daily",), "SELECT * FROM drawdown_daily",
                              ("adj_close", "running_max", "drawdown")))(lambda m: m.drawdown)
 
+# The same relations cut into blocks of the time axis, for series too long for one task.
+register("rolling_volatility_in_blocks", q(("rolling_volatility",), "SELECT * FROM rolling_volatility",
+                                           ("adj_close", "simple_return", "log_return", "vol_20d", "vol_60d")))(
+    lambda m: risk.volatility_in_blocks(m.prices, 500))
+
+register("rolling_sharpe_in_blocks", q(("rolling_sharpe",), "SELECT * FROM rolling_sharpe",
+                                       ("log_return", "mean_excess_60d", "std_60d", "sharpe_60d")))(
+    lambda m: risk.sharpe_in_blocks(m.prices, 500))
+
+register("drawdown_in_blocks", q(("drawdown_daily",), "SELECT * FROM drawdown_daily",
+                                 ("adj_close", "running_max", "drawdown")))(lambda m: risk.drawdown_in_blocks(m.prices))
+
 register("correlation_matrix", q(("correlation_matrix",), "SELECT * FROM correlation_matrix",
                                  ("correlation",)))(lambda m: m.correlation())
 

@@ -21,8 +21,7 @@ def _wf(m):
 
 
 def _rec(m):
-    # Only what the recursive indicators read goes through Arrow.
-    return ind.add_recursive_indicators(_wf(m).select("ticker", "date", "close", "adj_close", "true_range"))
+    return ind.add_recursive_indicators(_wf(m).select("ticker", "date", "close", "adj_close", "true_range", "prev_adj_close"))
 
 
 def _sel(sql_cols: str, rnd: tuple, rel: str = "feature_frame", uses=FF):
