@@ -32,8 +32,9 @@ def _earlier(key: str) -> Window:
 
 
 def _with_carry(rows: DataFrame, per_block: DataFrame, key: str) -> DataFrame:
-    """``rows`` (with _b) joined to their block's row of ``per_block``: one thin row a block."""
-    return rows.join(per_block, [key, "_b"])
+    """``rows`` (with _b) joined to their block's row of ``per_block``: one thin row a block,
+    which is the hash table; the rows stay where they are."""
+    return rows.join(per_block.hint("shuffle_hash"), [key, "_b"])
 
 
 def row_index(df: DataFrame, key: str = "ticker", order: str = "date", days: int = BLOCK_DAYS) -> DataFrame:
@@ -59,7 +60,7 @@ def in_blocks(df: DataFrame, relation: Callable[[DataFrame], DataFrame], halo: i
     # A row also belongs to the halo of every block that begins at most ``halo`` rows after it.
     last = F.floor((F.col("_i") + halo) / n)
     dealt = own.withColumn("_block", F.explode(F.sequence("_block", last)))
-    keyed = dealt.join(starts, [key, "_block"]).withColumn(
+    keyed = dealt.join(starts.hint("shuffle_hash"), [key, "_block"]).withColumn(
         key, F.struct(F.col(key).alias("series"), F.col("_block").alias("block"), F.col("_start").alias("start")))
     out = relation(keyed.drop("_i", "_block", "_start"))
     return out.filter(F.col(order) >= F.col(f"{key}.start")).withColumn(key, F.col(f"{key}.series"))
@@ -95,7 +96,7 @@ def scan(df: DataFrame, carry: Fields, local: Fields, step: Callable[[Column, Co
     blocks = (df.withColumn("_b", day_block(order, days)).repartition(key, "_b")
               .groupBy(key, "_b").agg(rows.alias("_rows")))
     counts = blocks.select(key, "_b", F.size("_rows").cast("long").alias("_n"))
-    blocks = blocks.join(counts.select(key, "_b", F.coalesce(F.sum("_n").over(_earlier(key)), F.lit(0)).alias("_first")), [key, "_b"])
+    blocks = _with_carry(blocks, counts.select(key, "_b", F.coalesce(F.sum("_n").over(_earlier(key)), F.lit(0)).alias("_first")), key)
 
     def struct(fields: Fields, i: Column) -> Column:
         return F.struct(*(fields[n].alias(n) for n in (*carry, *local)), i.alias("_i"))
@@ -115,7 +116,7 @@ def scan(df: DataFrame, carry: Fields, local: Fields, step: Callable[[Column, Co
                         F.array_append(acc["starts"], F.struct(x["_b"].alias("_b"), acc["now"].alias("_c"))).alias("starts"))
 
     starts = found.select(key, F.explode(F.aggregate("_found", kept, walk)["starts"]).alias("_x")).select(key, "_x._b", "_x._c")
-    blocks = blocks.join(starts, [key, "_b"])
+    blocks = _with_carry(blocks, starts, key)
     begin = F.struct(struct({**{n: F.col("_c")[n] for n in carry}, **local}, F.col("_first")).alias("s"),
                      F.array().cast("array<struct<" + ", ".join(f"`{n}`: double" for n in outputs) + ", `_i`: bigint>>").alias("out"))
 
