@@ -16,7 +16,7 @@ from kestrel.plans import named as N
 from kestrel.plans.context import BAR_SOURCES
 from kestrel.plans.oracle import AS_OF, INDEX_AS_OF, q
 from kestrel.plans.registry import register
-from kestrel.sources import adapters, ingest, sinks
+from kestrel.sources import adapters, checked, incremental, ingest, sinks
 from kestrel.sources.store import source_signature
 from kestrel.sources.tables import read_table
 
@@ -109,6 +109,72 @@ register("materialize_views", q(
         f"SELECT '{v}' AS \"view\", count(*) AS n_rows FROM {v}"
         for v in ("rolling_volatility", "rolling_sharpe", "drawdown_daily", "correlation_matrix"))))(_materialize)
 
+
+
+def _incremental(view: str):
+    """The stored view after a refresh from the bars before the last day to all bars."""
+    def run(m):
+        root = f"{checkpoint_dir(m.spark).rstrip('/')}/incremental-{uuid.uuid4().hex[:12]}"
+        views = {view: incremental.VIEWS[view]}
+        before = m.prices.filter(F.col("date") < m.prices.select(F.max("date")).scalar())
+        incremental.write_views(before, root, views)
+        incremental.refresh_views(before, m.prices, root, views)
+        return incremental.read_view(m.spark, view, root)
+    return run
+
+
+_VIEW_FLOATS = {"rolling_volatility": ("adj_close", "simple_return", "log_return", "vol_20d", "vol_60d"),
+                "rolling_sharpe": ("log_return", "mean_excess_60d", "std_60d", "sharpe_60d"),
+                "drawdown_daily": ("adj_close", "running_max", "drawdown")}
+for _view, _floats in _VIEW_FLOATS.items():
+    register(f"incremental_{_view}", q((_view,), f"SELECT * FROM {_view}", _floats))(_incremental(_view))
+
+
+def _spoiled(m):
+    """The bars with known faults: on some days of the month a null price, a crossed range, a price of 0."""
+    day = F.dayofmonth("date")
+    return (m.prices.withColumn("close", F.when(day != 13, F.col("close")))
+            .withColumn("high", F.when(day == 14, F.col("low") - 1).otherwise(F.col("high")))
+            .withColumn("open", F.when(day == 15, 0.0).otherwise(F.col("open")))
+            .withColumn("volume", F.when(day == 16, -F.col("volume")).otherwise(F.col("volume"))))
+
+
+_SPOILED_SQL = """
+spoiled AS (
+  SELECT ticker, date, CASE WHEN day(date) = 15 THEN 0.0 ELSE open END AS open,
+         CASE WHEN day(date) = 14 THEN low - 1 ELSE high END AS high, low,
+         CASE WHEN day(date) <> 13 THEN close END AS close, adj_close,
+         CASE WHEN day(date) = 16 THEN -volume ELSE volume END AS volume FROM prices_daily),
+marked AS (
+  SELECT *, CASE WHEN close IS NULL THEN 'null_price' WHEN least(open, high, low, close, adj_close) <= 0 THEN 'nonpositive_price'
+                 WHEN high < low THEN 'high_below_low' WHEN close > high OR close < low THEN 'close_outside_range'
+                 WHEN volume < 0 THEN 'negative_volume' END AS rule_id
+  FROM spoiled)"""
+
+
+def _checked(m, read):
+    root = f"{checkpoint_dir(m.spark).rstrip('/')}/checked-{uuid.uuid4().hex[:12]}"
+    _, metrics = checked.checked_refresh(_spoiled(m), "prices_daily", checked.bar_rules(), root)
+    return read(m.spark, root, metrics)
+
+
+register("checked_metrics", q(("prices_daily",), f"""
+WITH {_SPOILED_SQL.strip()}
+SELECT metric, value FROM (
+  SELECT 'n_rows' AS metric, CAST(count(*) AS VARCHAR) AS value FROM marked
+  UNION ALL SELECT 'n_good', CAST(count(*) FILTER (rule_id IS NULL) AS VARCHAR) FROM marked
+  {" ".join(f"UNION ALL SELECT 'rule_{r}', CAST(count(*) FILTER (rule_id = '{r}') AS VARCHAR) FROM marked" for r in (
+      "null_key", "null_price", "nonpositive_price", "high_below_low", "close_outside_range", "negative_volume"))}
+  {" ".join(f"UNION ALL SELECT 'null_{c}', CAST(count(*) FILTER ({c} IS NULL) AS VARCHAR) FROM marked" for c in (
+      "ticker", "date", "open", "high", "low", "close", "adj_close", "volume"))}
+  UNION ALL SELECT 'first_date', CAST(min(date) AS VARCHAR) FROM marked
+  UNION ALL SELECT 'last_date', CAST(max(date) AS VARCHAR) FROM marked)"""))(
+    lambda m: _checked(m, lambda spark, root, metrics: checked.metrics_frame(spark, metrics)))
+register("quarantine", q(("prices_daily",), f"""
+WITH {_SPOILED_SQL.strip()}
+SELECT * FROM marked WHERE rule_id IS NOT NULL""", PRICE_FLOATS))(
+    lambda m: _checked(m, lambda spark, root, metrics: checked.read_quarantine(spark, "prices_daily", root)))
+
 register("query_by_name", q(("stocks", "prices_daily"), f"""
 SELECT * FROM (
   SELECT s.ticker, s.company_name, s.sector, round((l.price_now - sp.price_then) / sp.price_then * 100, 2) AS return_pct
