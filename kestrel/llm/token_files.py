@@ -38,7 +38,8 @@ from kestrel.llm.common import documents, local_uri, shared_path, store
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 LEVEL = 3
-CACHE_CHUNKS = 600_000     # memory bound of a worker's chunk cache, emptied when full
+# Memory bound of a worker's chunk cache, emptied when full: entries and code points an entry, under 200 MB.
+CACHE_CHUNKS, LONGEST_CACHED = 600_000, 64
 # Fixed values of the public zstandard and seekable formats.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -49,6 +50,7 @@ HEADER = struct.Struct("<II")
 
 
 # Chunks whose pieces are plain to see: Latin letters, signs that begin no contraction, single line ends.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[.,;:!?%&$#*|=+<>()\[\]\"-]+|\n")
 _PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[.,;:!?%&$#*|=+<>()\[\]\"-]+|\n(?=\S))+")
 
@@ -129,7 +131,8 @@ class ChunkEncoder:
         self.added = re.compile("|".join(added)).search if added else None
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
-        self.char_of = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.char_of = {b: chr(256 + i) for i, b in enumerate(rest)}    # the other bytes stand for themselves
+        self.blank, self.tokenize = self.char_of[32], self.tokenizer.model.tokenize
         self.cache: dict[str, bytes] = {}    # ids of a chunk after a blank
         self.pieces: dict[str, bytes] = {}   # ids of a piece after anything else
         self.split = re.compile(r"(?<=\S) (?=\S)").split
@@ -138,10 +141,13 @@ class ChunkEncoder:
         done = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in done]
 
-    def _model(self, piece: str) -> bytes:
+    def _model(self, piece: str, lead: str = "") -> bytes:
         """Ids of what the pre-tokenizer leaves in one piece."""
-        name = "".join(map(self.char_of.__getitem__, piece.encode()))
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(name)]).tobytes()
+        if piece.isascii() and piece.isalpha():   # these bytes stand for themselves
+            name = self.blank + piece if lead else piece
+        else:
+            name = (lead + piece).encode().decode("latin-1").translate(self.char_of)
+        return array("I", [t.id for t in self.tokenize(name)]).tobytes()
 
     def _plain(self, chunk: str, lead: str) -> bytes:
         """Ids of a chunk of Latin letters, signs and single line ends: one piece each, the first with the blank."""
@@ -149,19 +155,26 @@ class ChunkEncoder:
         known = self.cache if lead else self.pieces
         ids = known.get(first)
         if ids is None:
-            ids = known[first] = self._model(lead + first)
-        if not rest:
-            return ids
+            ids = self._model(first, lead)
+            if len(first) <= LONGEST_CACHED:
+                known[first] = ids
+        out = [ids]
         for piece in rest:
-            if piece not in self.pieces:
-                self.pieces[piece] = self._model(piece)
-        return b"".join([ids, *map(self.pieces.__getitem__, rest)])
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = self._model(piece)
+                if len(piece) <= LONGEST_CACHED:
+                    self.pieces[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def _ids(self, chunks: Iterable[str], lead: str) -> dict[str, bytes]:
         """Ids of distinct chunks, all after ``lead`` (a blank or nothing)."""
         out, hard = {}, []
         for chunk in chunks:
-            if _PLAIN.fullmatch(chunk):
+            if _LETTERS(chunk):        # one piece; most chunks are
+                out[chunk] = self._model(chunk, lead)
+            elif _PLAIN.fullmatch(chunk):
                 out[chunk] = self._plain(chunk, lead)
             else:
                 hard.append(chunk)
@@ -199,7 +212,11 @@ class ChunkEncoder:
             heads.update(self._ids({docs[d][0] for d in redo}, ""))
             new = set().union(*(docs[d] for d in redo), new - odd).difference(cache)
         cache.update(self._ids(new, " "))
-        return [b"".join([heads[parts[0]], *map(cache.__getitem__, parts[1:])]) for parts in docs]
+        out = [b"".join([heads[parts[0]], *map(cache.__getitem__, parts[1:])]) for parts in docs]
+        for chunk in new:
+            if len(chunk) > LONGEST_CACHED:
+                del cache[chunk]
+        return out
 
 
 @lru_cache(maxsize=1)
