@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,6 +53,8 @@ _DIGIT = re.compile(r"[0-9]")
 _LOOSE_IP = re.compile(r"(?<![0-9])[0-9]{1,3}+(?:(?:\.|\[\.\]|\(\.\)| \. | dot )[0-9]{1,3}+){3}(?![0-9])")
 _LOOSE_CARD = re.compile(r"(?<![0-9])(?:[0-9]{14,19}|[0-9]{3,6}(?:[\x20._/-]{1,3}[0-9]{2,6}){2,5})(?![0-9])")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:\+ ?)?\(?[0-9](?:[\x20()./-]{0,3}[0-9]){9,14}(?![0-9])")
+_AT_WORD = re.compile(
+    r"[\[(]at[\])]|\bat\b(?= [A-Za-z0-9-]{1,64}(?:\.[A-Za-z0-9]| ?[\[(](?:dot|\.)[\])]| dot [A-Za-z0-9]))", re.I)
 _DOT_WORD = re.compile(r"\bdot\b|\[\.\]|\(\.\)", re.I)
 _LOOSE_EMAIL = re.compile(
     r"[A-Za-z0-9._%+-]{1,64} ?(?:@|[\[(]at[\])]| at ) ?[A-Za-z0-9-]{1,64}"
@@ -68,6 +71,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    digits = digits.lstrip("0") or "0"      # int() refuses thousands of digits
+    return len(digits) <= 3 and int(digits) <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """The base rules' spans, by start, then kind."""
     out: list[Span] = []
@@ -83,7 +91,7 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
         out += [(m.start(), m.end(), 1) for m in _IP.finditer(text)
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+                if all(map(_octet, m.group().split(".")))]
         for m in _CARD.finditer(text):
             if 14 <= m.end() - m.start() <= 37:
                 digits = m.group().replace(" ", "").replace("-", "")
@@ -104,7 +112,7 @@ def proposals(text: str) -> list[Span]:
     if _DIGIT.search(text):
         for kind, pattern in ((1, _LOOSE_IP), (2, _LOOSE_CARD), (3, _LOOSE_PHONE)):
             out.update((m.start(), m.end(), kind) for m in pattern.finditer(text))
-    marks = [m.start() for m in _DOT_WORD.finditer(text)]
+    marks = [m.start() for mark in (_DOT_WORD, _AT_WORD) for m in mark.finditer(text)]
     at = text.find("@")
     while at >= 0:
         marks.append(at)
@@ -116,6 +124,29 @@ def proposals(text: str) -> list[Span]:
     return sorted(out)
 
 
+class Taken:
+    """Disjoint intervals; tells in logarithmic time whether a span meets one of them."""
+
+    def __init__(self, spans: list[Span] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end, _ in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_right(self.ends, start)
+        return at < len(self.starts) and self.starts[at] < end
+
+    def add(self, start: int, end: int) -> None:
+        at = bisect_right(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+
 def features(text: str, span: Span) -> list[float]:
     """Format and context of a proposal."""
     start, end, kind = span
@@ -144,7 +175,8 @@ def rewritings(s: str, kind: int) -> list[str]:
         letters = re.sub("[0-9]", "", domain)
         return [f"{plain} at {letters.replace('.', ' dot ')}", f"{plain}(at){letters.replace('.', '(dot)')}",
                 f"{user} at {domain.replace('.', ' dot ')}", f"{user}(at){domain.replace('.', '(dot)')}",
-                f"{user} [at] {domain.replace('.', ' [dot] ')}", f"{user}@{domain.replace('.', '[.]')}"]
+                f"{user} [at] {domain.replace('.', ' [dot] ')}", f"{user}@{domain.replace('.', '[.]')}",
+                f"{user} [at] {domain}", f"{user}(at){domain}", f"{user} at {domain}"]
     if kind == 1:
         return [s.replace(".", "[.]"), s.replace(".", " . "), s.replace(".", "(.)")]
     if kind == 2:
@@ -158,11 +190,11 @@ def rewritings(s: str, kind: int) -> list[str]:
 def examples(text: str) -> list[tuple[list[float], int]]:
     """(features, label) of a text's proposals and of the rewritings of its base spans."""
     base = base_spans(text)
-    known = set(base)
+    known, taken = set(base), Taken(base)
     # A number that passes the card check without being a base span (two cards in a row) is left unlabelled.
     out = [(features(text, p), int(p in known)) for p in proposals(text)
            if p in known or not (p[2] == 2 and luhn(re.sub("[^0-9]", "", text[p[0]:p[1]])))
-           and not any(p[0] < b[1] and b[0] < p[1] for b in base)][:ROWS_PER_DOC]
+           and not taken.meets(p[0], p[1])][:ROWS_PER_DOC]
     for start, end, kind in base[:ROWS_PER_DOC // 8]:
         for s in rewritings(text[start:end], kind):
             head, tail = text[max(0, start - 200):start], text[end:end + 200]
@@ -183,13 +215,15 @@ class Selector:
         return 1 / (1 + np.exp(-np.clip(a * self.trees.raw(x) + b, -30, 30)))
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
-        free = [p for p in proposals(text) if not any(p[0] < b[1] and b[0] < p[1] for b in base)]
+        taken = Taken(base)
+        free = [p for p in proposals(text) if not taken.meets(p[0], p[1])]
         if not free:
             return []
         prob = self.probability(np.array([features(text, p) for p in free], float))
         out: list[Span] = []
         for q, p in sorted((-q, p) for q, p in zip(prob.tolist(), free)):
-            if -q >= self.thresholds[p[2]] and not any(p[0] < o[1] and o[0] < p[1] for o in out):
+            if -q >= self.thresholds[p[2]] and not taken.meets(p[0], p[1]):
+                taken.add(p[0], p[1])
                 out.append(p)
         return out
 
