@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import HOT_SHARE, documents, join_by_hot_key, store
@@ -195,7 +195,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable) for every row of ``docs``."""
+    """doc_id, fp, component_id (smallest doc_id reachable) and root (a fingerprint that names the
+    component even where doc_ids repeat) for every row of ``docs``."""
     rows = store(fingerprints(docs, shingle), "fingerprints")
     n = rows.count()
     fps = store(rows.groupBy("fp").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("low")), "distinct-fp")
@@ -209,20 +210,34 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     name = labelled.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n_fp"))
     n_fp = labelled.count()
     named = join_by_hot_key(labelled, name, ["root"], F.col("n_fp") * HOT_SHARE > n_fp)
-    return join_by_hot_key(rows, named.select("fp", "component_id", "n_rows"), ["fp"],
-                           F.col("n_rows") * HOT_SHARE > n).select("doc_id", "fp", "component_id")
+    return join_by_hot_key(rows, named.select("fp", "component_id", "root", "n_rows"), ["fp"],
+                           F.col("n_rows") * HOT_SHARE > n).select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each group: the rows whose doc_id names their component, once if repeated.
+    """One document of each component: the row with the smallest doc_id, then fingerprint.
 
-    Rows without a doc_id cannot be named and stay.
+    Where a doc_id is on several rows, the fingerprint tells which of them is meant; of rows equal in
+    both the least (by their columns in order) stays. Rows without a doc_id cannot be named and stay.
     """
-    comp = simhash_components(docs.filter("doc_id IS NOT NULL"), shingle, max_bits)
-    named = comp.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("doc_id")
-    first = docs.join(named, "doc_id", "left_semi").withColumn("__n", F.row_number().over(once)).filter("__n = 1")
-    return first.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    comp = store(simhash_components(docs.filter("doc_id IS NOT NULL"), shingle, max_bits), "near-groups")
+    chosen = comp.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("x")).select("x.doc_id", "x.fp")
+    repeated = store(comp.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    once = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").join(repeated, "doc_id", "left_anti")
+    again = docs.join(repeated, "doc_id", "left_semi")
+    tied = again.withColumn("__fp", fingerprint_of(shingle)(F.col("text"))).join(
+        chosen.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__chosen")),
+        (F.col("doc_id") == F.col("__id")) & (F.col("__fp") == F.col("__chosen")), "left_semi")
+    least = tied.groupBy("doc_id", "__fp").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return once.select(*docs.columns).unionByName(least).unionByName(docs.filter("doc_id IS NULL"))
+
+
+def fingerprint_of(shingle: int = SHINGLE):
+    """Column function: text -> fingerprint as a signed long."""
+    @F.arrow_udf("long")
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([fingerprint_text(t, shingle) for t in text.to_pylist()], pa.int64())
+    return run
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
