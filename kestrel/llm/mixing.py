@@ -44,6 +44,7 @@ DOMAINS = ("good", "plain", "toxic")
 # Target shares of the mixed tokens; the budget keeps ``HEADROOM`` times the good tokens there are.
 TARGET = {"good": 0.93, "plain": 0.065, "toxic": 0.005}
 ANCHOR, HEADROOM = "good", 1.03
+DRAWN = 0.99     # the same for documents drawn at most once: nearly all good tokens stay
 SAMPLE, WORDS, LEAST_DOCS, MOST_SHARE = 8000, 1024, 4, 0.1
 ROUNDS, TOLERANCE = 60, 0.01   # plain steps at most; largest error of a domain relative to its own target
 LONGEST, NEWTON = (1e4, 1e6, 1e8, 1e10), 60   # lengths of the implicit steps; Newton rounds for one at most
@@ -186,36 +187,44 @@ def posterior_of(spark: SparkSession, model: Classifier):
     return run
 
 
-def rates(p: np.ndarray, steps: list[list[float]]) -> np.ndarray:
-    """Rates of documents with posteriors ``p`` after projected steps r <- max(0, r - p . step), from 1."""
+def _moved(p: np.ndarray, steps: list[list[float]], upper: float) -> np.ndarray:
+    """Rates from 1 by projected steps r <- clip(r - p . step, 0, upper), the last one not yet projected."""
     r = np.ones(len(p))
     for s in steps:
-        r = np.maximum(0.0, r - p @ np.array(s))
+        r = np.clip(r, 0.0, upper) - p @ np.array(s)
     return r
 
 
+def rates(p: np.ndarray, steps: list[list[float]], upper: float = np.inf) -> np.ndarray:
+    """Rates of documents with posteriors ``p`` after the steps, between 0 and ``upper``."""
+    return np.clip(_moved(p, steps, upper), 0.0, upper)
+
+
 def _matrix(p: pa.Array) -> np.ndarray:
     return p.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(DOMAINS))
 
 
-def rate_of(steps: list[list[float]]):
+def rate_of(steps: list[list[float]], upper: float = np.inf):
     """Column function: posterior -> rate."""
     @F.arrow_udf("double")
     def run(p: pa.Array) -> pa.Array:
-        return pa.array(rates(_matrix(p), steps))
+        return pa.array(rates(_matrix(p), steps, upper))
     return run
 
 
-def _totals(posteriors: DataFrame, steps: list[list[float]]) -> tuple[np.ndarray, float, np.ndarray]:
-    """At the rates after ``steps``: expected domain tokens, half the squared rates, moments of the rows with a rate."""
+def _totals(posteriors: DataFrame, steps: list[list[float]], upper: float = np.inf) -> tuple[np.ndarray, float, np.ndarray]:
+    """At the rates after ``steps``: expected domain tokens, the potential whose slope the rates are (half
+    their squares, linear beyond ``upper``), moments of the rows strictly between the bounds."""
     k = len(DOMAINS)
     names = [f"x{i}" for i in range(k + 1 + k * k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p, t = _matrix(b.column("p")), b.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
-            r = rates(p, steps)
-            s = [*((r * t) @ p), r @ (r * t) / 2, *((p * (t * (r > 0))[:, None]).T @ p).ravel()]
+            z = _moved(p, steps, upper)
+            r = np.clip(z, 0.0, upper)
+            over = np.maximum(z - upper, 0.0)
+            s = [*((r * t) @ p), r @ (r * t) / 2 + over @ (r * t), *((p * (t * ((z > 0) & (z < upper)))[:, None]).T @ p).ravel()]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in s], names)
 
     sums = posteriors.select("n_tokens", "p").mapInArrow(run, ", ".join(f"{n} double" for n in names))
@@ -241,7 +250,7 @@ def _met(reached: np.ndarray, goal: np.ndarray) -> bool:
 
 
 def _implicit(posteriors: DataFrame, steps: list[list[float]], goal: np.ndarray, total: float, w: np.ndarray,
-              length: float) -> tuple[list[float], np.ndarray]:
+              length: float, upper: float) -> tuple[list[float], np.ndarray]:
     """The step s = length * w * residual after s, and what it reaches; shorter where that already meets the targets.
 
     s minimises a convex function of three numbers; its gradient and curvature are sums over
@@ -250,7 +259,7 @@ def _implicit(posteriors: DataFrame, steps: list[list[float]], goal: np.ndarray,
     s = np.zeros(len(w))
 
     def at(s: np.ndarray):
-        reached, half, moment = _totals(posteriors, [*steps, s.tolist()])
+        reached, half, moment = _totals(posteriors, [*steps, s.tolist()], upper)
         return (half + goal @ s) / total + (s * s / w).sum() / (2 * length), reached, moment / total
 
     value, reached, moment = at(s)
@@ -266,8 +275,12 @@ def _implicit(posteriors: DataFrame, steps: list[list[float]], goal: np.ndarray,
     return s.tolist(), reached
 
 
-def fit_rates(posteriors: DataFrame, target: dict[str, float] | None = None, rounds: int = ROUNDS) -> Fit:
-    """Projected-gradient least squares over (n_tokens, p); every round is one distributed sum (or a few)."""
+def fit_rates(posteriors: DataFrame, target: dict[str, float] | None = None, rounds: int = ROUNDS,
+              upper: float = np.inf, headroom: float = HEADROOM) -> Fit:
+    """Projected-gradient least squares over (n_tokens, p); every round is one distributed sum (or a few).
+
+    The projection keeps rates between 0 and ``upper``.
+    """
     weight = np.array([(target or TARGET)[d] for d in DOMAINS])
     weight = weight / weight.sum()
     k = range(len(DOMAINS))
@@ -280,7 +293,7 @@ def fit_rates(posteriors: DataFrame, target: dict[str, float] | None = None, rou
         return Fit([], natural, natural, natural)
     moment = np.array([[row[f"m{a}{b}"] for b in k] for a in k]) / total
     anchor = DOMAINS.index(ANCHOR)
-    goal = weight * (HEADROOM * natural[anchor] / weight[anchor])
+    goal = weight * (headroom * natural[anchor] / weight[anchor])
     # Residuals are weighted by the inverse natural share, so that small domains count as much.
     w = total / np.maximum(natural, 1e-9 * total)
     root = np.sqrt(w)
@@ -292,7 +305,7 @@ def fit_rates(posteriors: DataFrame, target: dict[str, float] | None = None, rou
             break
         residual = (reached - goal) / total
         steps.append((step * w * residual).tolist())
-        before, reached = reached, _totals(posteriors, steps)[0]
+        before, reached = reached, _totals(posteriors, steps, upper)[0]
         missed = np.maximum(np.abs(reached - goal) - TOLERANCE * goal, 0)
         if (missed > ROUNDS * np.abs(reached - before)).any():   # more than as many rounds away at this pace
             break
@@ -300,7 +313,7 @@ def fit_rates(posteriors: DataFrame, target: dict[str, float] | None = None, rou
     for length in LONGEST:
         if _met(reached, goal):
             break
-        found, after = _implicit(posteriors, steps, goal, total, w, length)
+        found, after = _implicit(posteriors, steps, goal, total, w, length, upper)
         if not (_met(after, goal) or error(after) < error(reached)):
             break
         steps.append(found)
@@ -329,10 +342,17 @@ def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = No
 
 
 def select_mixed(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs`` drawn at their rates, each at most once (rates of 1 and above: always)."""
-    _, got, model = mix(docs, labels, target)
-    p = posterior_of(docs.sparkSession, model)(F.col("text"))["p"]
-    return docs.filter(uniform(F.col("doc_id")) < rate_of(got.steps)(p))
+    """The rows of ``docs`` drawn at rates of at most 1, so that the expected domain tokens meet the targets.
+
+    Every text is scored once: its posterior is stored beside the row.
+    """
+    spark = docs.sparkSession
+    name = "__mix"
+    while name in docs.columns:
+        name += "_"
+    scored = store(docs.withColumn(name, posterior_of(spark, fit(docs, labels))(F.col("text"))), "mix-scored")
+    got = fit_rates(scored.select(f"{name}.n_tokens", f"{name}.p"), target, upper=1.0, headroom=DRAWN)
+    return scored.filter(uniform(F.col("doc_id")) < rate_of(got.steps, 1.0)(F.col(name)["p"])).select(*docs.columns)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
