@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE_WORDS = 500_000      # memory bound of a worker's word cache, emptied when full
+# Memory bound of a worker's word cache, emptied when full: entries and bytes an entry, under 150 MB.
+CACHE_WORDS, LONGEST_CACHED = 500_000, 128
+LONGEST_BATCHED = 512      # longer words are counted one by one
 UNKNOWN = 1 << 40          # a word's count plus this marks an unknown word
 
 
@@ -86,6 +88,9 @@ class Automaton:
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """Pieces of every (non-empty) word; ``UNKNOWN + 1`` for an unknown word."""
+        if any(len(w) > LONGEST_BATCHED for w in words):
+            short = iter(self.count([w for w in words if len(w) <= LONGEST_BATCHED]).tolist())
+            return np.array([next(short) if len(w) <= LONGEST_BATCHED else self.count_one(w) for w in words], np.int64)
         length = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-length, kind="stable")
         text = np.frombuffer(b"".join(words), np.uint8)
@@ -117,6 +122,28 @@ class Automaton:
         return out
 
 
+    def count_one(self, word: bytes) -> int:
+        """``count`` of one word by plain steps: a long word has no company in a batch."""
+        table, fail, pops = self._plain()
+        state = count = 0
+        for byte in word:
+            nxt = table.get(state << 8 | byte, -1)
+            while nxt < 0:
+                count += pops[state]
+                state = fail[state]
+                if state < 0:
+                    return UNKNOWN + 1
+                nxt = table.get(state << 8 | byte, -1)
+            state = nxt
+        end = int(self.at_end[state])
+        return UNKNOWN + 1 if end < 0 else count + end
+
+    def _plain(self) -> tuple[dict[int, int], list[int], list[int]]:
+        if not hasattr(self, "_tables"):
+            self._tables = (dict(zip(self.keys.tolist(), self.targets.tolist())), self.fail.tolist(), self.pops.tolist())
+        return self._tables
+
+
 def byte_level_vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
     """(initial, inner) pieces of a byte-level vocabulary file, whose word-start pieces begin with a blank."""
     with open(path, encoding="utf-8") as f:
@@ -145,6 +172,9 @@ def token_counts(docs: DataFrame, automaton: Automaton) -> DataFrame:
                 new = list(set().union(*words).difference(cache))
                 cache.update(zip(new, held.value.count(new).tolist()))
                 total = [sum(map(cache.__getitem__, w)) for w in words]
+                for w in new:
+                    if len(w) > LONGEST_CACHED:
+                        del cache[w]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array([len(w) for w in words], pa.int64()),
                      pa.array([t % UNKNOWN for t in total], pa.int64()),
