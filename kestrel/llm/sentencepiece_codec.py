@@ -30,6 +30,7 @@ from kestrel.llm.common import documents
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0     # fixed value of the SentencePiece library
+LONGEST_CACHED = 64        # code points; with CACHE_WORDS a bound in bytes, under 200 MB
 CACHE_WORDS = 300_000      # a worker keeps the words of its last one to two times so many new ones
 
 def _id(i: int) -> bytes:
@@ -155,7 +156,11 @@ class _Encoder:
         old = new.intersection(before)
         words.update((w, before[w]) for w in old)
         words.update(self.vocabulary.encode_words(new - old))
-        return [b"".join(map(words.__getitem__, d)) for d in docs]
+        out = [b"".join(map(words.__getitem__, d)) for d in docs]
+        for w in new:
+            if len(w) > LONGEST_CACHED:
+                del words[w]
+        return out
 
 
 def _blocks(text: pa.Array) -> Iterator[list[str]]:
