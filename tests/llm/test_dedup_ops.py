@@ -163,3 +163,10 @@ def test_near_duplicates_keep_one(spark, make_docs):
     assert kept.count("None") == 1 and "11" in kept and "12" not in kept and "3" in kept and "7" not in kept
     assert S.keep_one(make_docs([])).collect() == []
     assert S.simhash_components(make_docs([])).collect() == []
+
+
+def test_keep_one_where_doc_ids_repeat(spark, make_docs):
+    a, b = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"beta{i}" for i in range(60))
+    rows = [(7, a), (7, b), (7, a), (8, b), (3, " ".join(f"gamma{i}" for i in range(60)))]
+    got = sorted((r.doc_id, r.text) for r in S.keep_one(make_docs(rows).repartition(3)).collect())
+    assert got == sorted([(7, a), (7, b), rows[-1]])

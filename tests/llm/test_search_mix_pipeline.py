@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from kestrel.llm import common
 from kestrel.llm import mixing as M
 from kestrel.llm import topk as K
 
@@ -193,3 +194,33 @@ def test_pipeline_on_odd_rows_and_empty(spark, write_docs, make_docs, tmp_path):
 def test_pipeline_on_an_empty_table(spark, write_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert corpus_pipeline.run(spark, write_docs([], labels=labels)).collect() == []
+
+
+def test_bounded_rates_meet_the_targets(spark):
+    """The rates of a draw are at most 1; their totals are those of the same descent in memory."""
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.8, 0.1, 0.05], 4000)
+    t = rng.integers(1, 200, 4000)
+    df = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(t, p)], "n_tokens long, p array<double>")
+    target = {"good": 0.9, "plain": 0.08, "toxic": 0.02}
+    got = M.fit_rates(df, target, upper=1.0, headroom=0.9)
+    r = np.ones(len(p))
+    for s in got.steps:
+        r = np.clip(r - p @ np.array(s), 0, 1)
+    assert np.allclose(M.rates(p, got.steps, 1.0), r) and r.max() <= 1 and r.min() >= 0
+    assert got.met and np.allclose(got.reached, (r * t) @ p)
+    assert (np.abs((r * t) @ p / got.target - 1) <= M.TOLERANCE).all()
+
+
+def test_drawn_totals_meet_the_targets(spark):
+    docs = common.documents(spark, "/root/testdata/sf0.1")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    kept = M.select_mixed(docs.withColumn("__mix", F.lit(1)), labels)
+    assert kept.columns == [*docs.columns, "__mix"]
+    model = M.fit(docs, labels)
+    f = M.posterior_of(spark, model)(F.col("text"))
+    totals = lambda df: np.array(df.select(f.alias("f")).agg(*(F.sum(F.col("f.n_tokens") * F.col("f.p")[i]) for i in range(3))).first())
+    drawn, natural = totals(kept), totals(docs)
+    share = np.array([M.TARGET[d] for d in M.DOMAINS])
+    assert abs(drawn[0] / natural[0] - M.DRAWN) < 0.01
+    assert (np.abs(drawn / drawn.sum() / share - 1) < [0.01, 0.05, 0.1]).all()      # a draw: plain and toxic are few

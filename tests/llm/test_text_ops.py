@@ -2,7 +2,9 @@
 
 import hashlib
 import io
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -226,7 +228,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 def brute_spans(t):
     digits = lambda m: re.sub("[^0-9]", "", m.group())
     out = [(m.start(), m.end(), 0) for m in EMAIL.finditer(t)]
-    out += [(m.start(), m.end(), 1) for m in IP.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [(m.start(), m.end(), 1) for m in IP.finditer(t) if all(int(p.lstrip("0")[:4] or "0") <= 255 for p in m.group().split("."))]
     out += [(m.start(), m.end(), 2) for m in CARD.finditer(t) if 14 <= len(digits(m)) <= 19 and P.luhn(digits(m))]
     out += [(m.start(), m.end(), 3) for m in PHONE.finditer(t) if 10 <= len(digits(m)) <= 15]
     return sorted(out, key=lambda s: (s[0], s[2]))
@@ -395,3 +397,57 @@ def test_sentencepiece_query_and_cases(spark, make_docs, rows, vocabulary):
     out = C.encode(docs, vocabulary).collect()
     assert [r.n_tokens for r in out[:2]] == [0, 0] and len(out) == len(ODD) + 1
     assert C.encode(make_docs([]), vocabulary).collect() == []
+
+
+def test_octets_of_thousands_of_digits(spark, make_docs):
+    for text in ("1.2.3." + "0" * 5000, "1.2.3." + "0" * 5000 + "255", "1.2.3." + "0" * 5000 + "256", "9" * 5000 + ".1.1.1"):
+        assert P.base_spans(text) == brute_spans(text)
+        assert P.find_pii(make_docs([text]), None).first().n_ip == sum(s[2] == 1 for s in brute_spans(text))
+
+
+def test_spelled_out_addresses_are_proposed():
+    for text in ("jane [at] example.com", "jane(at)example.com", "jane at example.com", "jane AT example dot com", "x (at) y.z"):
+        assert any(k == 0 and (a, b) == (0, len(text)) for a, b, k in P.proposals(text)), text
+    assert P.proposals("we met at noon. Then at home we ate") == []
+
+
+def test_proposals_recall_of_rewritings():
+    """Every rewriting the trees learn from is proposed as a whole."""
+    rng = random.Random(5)
+    want = got = 0
+    for _ in range(300):
+        kind = rng.randrange(4)
+        s = [f"ann.{rng.randrange(99)}@mail{rng.randrange(9)}.example.org", ".".join(str(rng.randrange(256)) for _ in range(4)),
+             "4" + "".join(rng.choice("0123456789") for _ in range(15)), f"+{rng.randrange(10, 99)} {rng.randrange(100, 999)} {rng.randrange(10**6, 10**7)}"][kind]
+        for text in P.rewritings(s, kind):
+            near = f"See {text} now"
+            want += 1
+            got += (4, 4 + len(text), kind) in P.proposals(near)
+    assert got >= 0.9 * want
+
+
+def test_many_spans_in_one_text():
+    text = " ".join(f"user{i}@host{i}.example.com and u{i}(at)h{i}.org" for i in range(20_000))
+    start = time.process_time()
+    base = P.base_spans(text)
+    taken = P.Taken(base)
+    free = [p for p in P.proposals(text) if not taken.meets(p[0], p[1])]
+    assert len(base) == 20_000 and len(free) >= 20_000 and time.process_time() - start < 8
+    for p in random.Random(1).sample(free, 200):
+        assert not any(p[0] < b[1] and b[0] < p[1] for b in base)
+
+
+def test_long_words_are_counted_by_the_same_automaton():
+    automaton = T.Automaton.build([b"a", b"ab", b"abc", b"b"], [b"a", b"b", b"c", b"ab", b"bca", b"cab"])
+    rng = random.Random(9)
+    words = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (1, 2, 5, 40, 511, 512, 513, 3000)] + [b"abx" * 400]
+    assert [automaton.count_one(w) for w in words] == [int(automaton.count([w])[0]) for w in words]
+    batch = T.LONGEST_BATCHED
+    try:
+        T.LONGEST_BATCHED = 10_000
+        assert automaton.count(words).tolist() == [automaton.count_one(w) for w in words]
+    finally:
+        T.LONGEST_BATCHED = batch
+    start = time.process_time()
+    automaton.count([b"abc" * 350_000])
+    assert time.process_time() - start < 3
