@@ -53,15 +53,29 @@ def _matrix(pdf: pd.DataFrame, n_days: int):
     # Centre each ticker on its own window mean (shift-invariant moments, less cancellation).
     mean = x.sum(axis=1) / np.maximum(m.sum(axis=1), 1.0)
     x = (x - mean[:, None]) * m
-    return tickers, x, m
+    return tickers, x, m, mean
+
+
+def _pairs(ta, tb, n, corr, min_overlap: int, mirrored: bool) -> pd.DataFrame:
+    """The pairs with enough common days, in both orders if the two blocks differ."""
+    ia, ib = np.nonzero(n >= min_overlap)
+    out = pd.DataFrame({
+        "ticker_a": ta[ia], "ticker_b": tb[ib],
+        "correlation": corr[ia, ib], "n_overlap_days": n[ia, ib].astype("int64"),
+    })
+    if mirrored:
+        mirror = out.rename(columns={"ticker_a": "ticker_b", "ticker_b": "ticker_a"})
+        out = pd.concat([out, mirror[out.columns]], ignore_index=True)
+    out["correlation"] = out["correlation"].astype("float64")   # NaN arrives as NULL via Arrow
+    return out
 
 
 def _pair_moments(n_days: int, min_overlap: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf[pdf["role"] <= 1]
         right = pdf[pdf["role"] != 1]
-        ta, xa, ma = _matrix(left, n_days)
-        tb, xb, mb = _matrix(right, n_days)
+        ta, xa, ma, _ = _matrix(left, n_days)
+        tb, xb, mb, _ = _matrix(right, n_days)
         n = ma @ mb.T
         sa = xa @ mb.T
         sb = ma @ xb.T
@@ -75,19 +89,30 @@ def _pair_moments(n_days: int, min_overlap: int):
             corr = cov / np.sqrt(va * vb)
         ok = (n >= 2) & (va > 0) & (vb > 0)
         corr = np.where(ok, corr, np.nan)
-        ia, ib = np.nonzero(n >= min_overlap)
-        out = pd.DataFrame({
-            "ticker_a": ta[ia], "ticker_b": tb[ib],
-            "correlation": corr[ia, ib], "n_overlap_days": n[ia, ib].astype("int64"),
-        })
-        if len(pdf) and pdf["bi"].iloc[0] != pdf["bj"].iloc[0]:
-            mirror = out.rename(columns={"ticker_a": "ticker_b", "ticker_b": "ticker_a"})
-            out = pd.concat([out, mirror[out.columns]], ignore_index=True)
-        out["correlation"] = out["correlation"].astype("float64")   # NaN arrives as NULL via Arrow
-        return out
+        mirrored = bool(len(pdf)) and pdf["bi"].iloc[0] != pdf["bj"].iloc[0]
+        return _pairs(ta, tb, n, corr, min_overlap, mirrored)
     return fn
 
 
+def n_blocks(n_tickers: int, block_size: int = BLOCK) -> int:
+    return max(min(LEAST_BLOCKS, n_tickers or 1), math.ceil(n_tickers / block_size))
+
+
+def routed(rows: DataFrame, nb: int) -> DataFrame:
+    """Every row once for each block pair (bi, bj) its ticker's block takes part in."""
+    return (
+        rows.withColumn("blk", F.pmod(F.xxhash64("ticker"), F.lit(nb)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+        .select(
+            *rows.columns,
+            F.least("blk", "other").alias("bi"),
+            F.greatest("blk", "other").alias("bj"),
+            F.when(F.col("blk") == F.col("other"), 0).when(F.col("blk") < F.col("other"), 1)
+            .otherwise(2).alias("role"),
+        )
+    )
+
+
 def correlation_matrix(
     returns: DataFrame,
     as_of: dt.date | None = None,   # None: the latest date in the data
@@ -104,19 +129,6 @@ def correlation_matrix(
     ).select("ticker", F.datediff("date", start).alias("day"), F.col("log_return").alias("x"))
     if n_tickers is None:  # callers with a ticker dimension pass its size and skip this pass
         n_tickers = recent.agg(F.approx_count_distinct("ticker")).first()[0] or 0
-    nb = max(min(LEAST_BLOCKS, n_tickers or 1), math.ceil(n_tickers / block_size))
-    block = F.pmod(F.xxhash64("ticker"), F.lit(nb))
-    routed = (
-        recent.withColumn("blk", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-        .select(
-            "ticker", "day", "x",
-            F.least("blk", "other").alias("bi"),
-            F.greatest("blk", "other").alias("bj"),
-            F.when(F.col("blk") == F.col("other"), 0).when(F.col("blk") < F.col("other"), 1)
-            .otherwise(2).alias("role"),
-        )
-    )
-    return routed.groupBy("bi", "bj").applyInPandas(
+    return routed(recent, n_blocks(n_tickers, block_size)).groupBy("bi", "bj").applyInPandas(
         _pair_moments(window_days + 1, min_overlap), OUT_SCHEMA
     )

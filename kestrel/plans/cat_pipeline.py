@@ -16,7 +16,7 @@ from kestrel.plans import named as N
 from kestrel.plans.context import BAR_SOURCES
 from kestrel.plans.oracle import AS_OF, INDEX_AS_OF, q
 from kestrel.plans.registry import register
-from kestrel.sources import adapters, checked, incremental, ingest, sinks
+from kestrel.sources import adapters, checked, comoments, incremental, ingest, sinks
 from kestrel.sources.store import source_signature
 from kestrel.sources.tables import read_table
 
@@ -130,6 +130,19 @@ for _view, _floats in _VIEW_FLOATS.items():
     register(f"incremental_{_view}", q((_view,), f"SELECT * FROM {_view}", _floats))(_incremental(_view))
 
 
+def _from_states(m):
+    """The correlation matrix from states stored before the last day and refreshed with it."""
+    root = f"{checkpoint_dir(m.spark).rstrip('/')}/states-{uuid.uuid4().hex[:12]}"
+    before = m.prices.filter(F.col("date") < m.prices.select(F.max("date")).scalar())
+    comoments.write_states(before, root, m.stocks.count())
+    comoments.refresh_states(before, m.prices, root)
+    return comoments.correlation_from_states(m.spark, m.as_of, min_overlap=adapters.MIN_OVERLAP, root=root)
+
+
+register("correlation_from_states", q(("correlation_matrix",), "SELECT * FROM correlation_matrix", ("correlation",)))(
+    _from_states)
+
+
 def _spoiled(m):
     """The bars with known faults: on some days of the month a null price, a crossed range, a price of 0."""
     day = F.dayofmonth("date")

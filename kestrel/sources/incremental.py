@@ -82,6 +82,35 @@ def _recomputed(view: View, stored: DataFrame, prices: DataFrame, changes: DataF
     return out.join(changes, "ticker").filter("date >= first_changed").drop("first_changed")
 
 
+def refresh_view(name: str, view: View, new: DataFrame, changes: DataFrame, root: str | None = None) -> tuple[set[str], int]:
+    """Bring one stored view up to the bars ``new``: (months rewritten or removed, rows recomputed)."""
+    spark = new.sparkSession
+    path = _path(spark, name, root)
+    stored = spark.read.parquet(path)
+    fresh = _month(_recomputed(view, stored.drop("month"), new, changes)).withColumn("_fresh", F.lit(True))
+    kept = stored.withColumn("month", F.col("month").cast("string")).join(changes, "ticker", "left")
+    replaced = F.coalesce(F.col("date") >= F.col("first_changed"), F.lit(False))
+    # Months with rows to write or to take away: bounded by the calendar.
+    touched = fresh.select("month").unionByName(kept.filter(replaced).select("month")).distinct()
+    rewritten = {r.month for r in touched.collect()}
+    carried = kept.filter(~replaced & F.col("month").isin(*rewritten)).withColumn("_fresh", F.lit(False))
+    # Materialised before the months it is read from are overwritten.
+    rows = fresh.unionByName(carried.select(*fresh.columns)).checkpoint()
+    n_rows, left = rows.filter("_fresh").count(), {r.month for r in rows.select("month").distinct().collect()}
+    overwrite_months(rows.drop("_fresh"), path, rewritten, left)
+    return rewritten, n_rows
+
+
+def overwrite_months(rows: DataFrame, path: str, rewritten: set[str], left: set[str]) -> None:
+    """Replace the months ``rewritten`` of a table by ``rows``, which hold the months ``left``."""
+    if left:
+        (rows.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("month").parquet(path))
+    for month in rewritten - left:      # nothing overwrites a month that lost all its rows
+        fs, p, _ = _fs(rows.sparkSession, f"{path}/month={month}")
+        fs.delete(p, True)
+
+
 def refresh_views(old: DataFrame, new: DataFrame, root: str | None = None, views: dict[str, View] = VIEWS) -> DataFrame:
     """Bring the stored views from the bars ``old`` to ``new``: view, months rewritten, rows recomputed."""
     spark = new.sparkSession
@@ -89,25 +118,8 @@ def refresh_views(old: DataFrame, new: DataFrame, root: str | None = None, views
     changes = first_changes(old, new).persist()
     report = []
     for name, view in views.items():
-        path = _path(spark, name, root)
-        stored = spark.read.parquet(path)
-        fresh = _month(_recomputed(view, stored.drop("month"), new, changes)).withColumn("_fresh", F.lit(True))
-        kept = stored.withColumn("month", F.col("month").cast("string")).join(changes, "ticker", "left")
-        replaced = F.coalesce(F.col("date") >= F.col("first_changed"), F.lit(False))
-        # Months with rows to write or to take away: bounded by the calendar.
-        touched = fresh.select("month").unionByName(kept.filter(replaced).select("month")).distinct()
-        rewritten = {r.month for r in touched.collect()}
-        carried = kept.filter(~replaced & F.col("month").isin(*rewritten)).withColumn("_fresh", F.lit(False))
-        # Materialised before the months it is read from are overwritten.
-        rows = fresh.unionByName(carried.select(*fresh.columns)).checkpoint()
-        n_rows, left = rows.filter("_fresh").count(), {r.month for r in rows.select("month").distinct().collect()}
-        if left:
-            (rows.drop("_fresh").repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("month").parquet(path))
-        for month in rewritten - left:      # nothing overwrites a month that lost all its rows
-            fs, p, _ = _fs(spark, f"{path}/month={month}")
-            fs.delete(p, True)
-        report.append((name, len(rewritten), n_rows))
+        months, n_rows = refresh_view(name, view, new, changes, root)
+        report.append((name, len(months), n_rows))
     changes.unpersist()
     spark.catalog.refreshByPath(_path(spark, "", root))
     return spark.createDataFrame(report, "view string, n_months int, n_rows long")
