@@ -59,6 +59,25 @@ def test_digest_index_appends_only_new_digests(spark, tmp_path):
     index.drop()
 
 
+def test_a_later_session_finds_the_stored_index(spark, make_docs, tmp_path):
+    path = str(tmp_path / "index")
+    first = {r.doc_id: r for r in X.exact_dedup(make_docs([(1, "a b"), (2, "ab"), (3, "c")]), index_path=path).collect()}
+    assert {i: (r.keep_id, r.group_size, r.kept) for i, r in first.items()} == {1: (1, 2, True), 2: (1, 2, False), 3: (3, 1, True)}
+    later = spark.newSession()
+    assert not [t for t in later.catalog.listTables() if t.name.startswith("digest_index_")]
+    docs = later.createDataFrame([(7, "a  b longer no"), (8, "a   b"), (9, "d"), (10, "d "), (8, "c")], "doc_id long, text string")
+    got = sorted(X.exact_dedup(docs, index_path=path).collect())
+    # The longer copy of an earlier text does not displace what the first run kept.
+    assert [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got] == [
+        (7, 7, 1, True), (8, 1, 3, False), (8, 3, 2, False), (9, 10, 2, False), (10, 10, 2, True)]
+    again = X.exact_dedup(make_docs([(11, "d")]), index_path=path).collect()
+    assert [(r.keep_id, r.group_size, r.kept) for r in again] == [(10, 3, False)]
+    index = X.DigestIndex(later, path, 999)
+    assert index.buckets == 12 and index.run == 3 and index.groups().count() == 4
+    assert "Exchange" not in index.groups()._jdf.queryExecution().executedPlan().toString()
+    index.drop()
+
+
 def brute_lines(docs, min_chars=40, min_docs=5):
     holders = defaultdict(set)
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in re.sub(f"^{BLANK}+|{BLANK}+$", "", x))
