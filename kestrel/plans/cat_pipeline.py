@@ -16,7 +16,7 @@ from kestrel.plans import named as N
 from kestrel.plans.context import BAR_SOURCES
 from kestrel.plans.oracle import AS_OF, INDEX_AS_OF, q
 from kestrel.plans.registry import register
-from kestrel.sources import adapters, checked, comoments, incremental, ingest, sinks
+from kestrel.sources import adapters, checked, comoments, incremental, ingest, sinks, vendor
 from kestrel.sources.store import source_signature
 from kestrel.sources.tables import read_table
 
@@ -49,6 +49,30 @@ FROM stocks s LEFT JOIN (SELECT ticker, count(*) AS n, min(date) AS earliest, ma
                          FROM prices_daily GROUP BY ticker) p ON p.ticker = s.ticker"""))(
     lambda m: ingest.ingest_summary(ingest.ingest_bars(adapters.raw_vendor_bars(m.spark, m.base)), m.stocks))
 
+
+
+def _vendor_files(m, broken=None):
+    """The bars written as vendor files and read back by the data source."""
+    path = f"{checkpoint_dir(m.spark).rstrip('/')}/vendor-{uuid.uuid4().hex[:12]}"
+    raw = m.prices.withColumnRenamed("ticker", "symbol")
+    vendor.write_vendor_files(raw, path, None if broken is None else broken(raw))
+    return ingest.ingest_bars(vendor.vendor_bars(vendor.read_vendor(m.spark, path)))
+
+
+register("vendor_ingest", q(("prices_daily",), """
+SELECT ticker, date, open, high, low, close, adj_close, volume FROM (
+  SELECT ticker, date, open, high, low, close, close AS adj_close, volume FROM prices_daily) WHERE close IS NOT NULL""",
+    PRICE_FLOATS))(_vendor_files)
+
+register("vendor_ingest_summary", q(("stocks", "prices_daily"), """
+WITH p AS (
+  SELECT ticker, count(*) AS n, min(date) AS earliest, max(date) AS latest FROM prices_daily
+  WHERE close IS NOT NULL AND ticker <> (SELECT min(ticker) FROM prices_daily) GROUP BY ticker)
+SELECT s.ticker, CASE WHEN p.n IS NULL THEN 'failed' ELSE 'ok' END AS status, coalesce(p.n, 0) AS n_rows,
+       p.earliest, p.latest
+FROM stocks s LEFT JOIN p ON p.ticker = s.ticker"""))(
+    lambda m: ingest.ingest_summary(_vendor_files(m, lambda raw: raw.agg(F.min("symbol").alias("symbol"))), m.stocks))
+
 register("static_dimension", q(("stocks",), "SELECT ticker, company_name, sector, industry FROM stocks"))(
     lambda m: ingest.static_dimension(m.spark, m.stocks))
 
