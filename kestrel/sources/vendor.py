@@ -205,5 +205,6 @@ def write_vendor_files(bars: DataFrame, path: str, broken: DataFrame | None = No
              symbols.select(F.col("symbol").alias("ticker"), F.lit(1).alias("part"), none.alias("date"),
                             F.concat(F.lit(","), F.concat_ws(",", *[quoted] * 5)).alias("value"))]
     rows = body.unionByName(heads[0]).unionByName(heads[1])
-    (rows.repartition("ticker").sortWithinPartitions("ticker", "part", "date").select("ticker", "value")
+    # By a hash of its own: over bucketed bars the union counts as partitioned by ticker, which its rows are not.
+    (rows.repartition(F.xxhash64("ticker")).sortWithinPartitions("ticker", "part", "date").select("ticker", "value")
      .write.partitionBy("ticker").text(path))

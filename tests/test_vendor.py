@@ -3,7 +3,7 @@
 import datetime as dt
 import gzip
 
-from helpers import bars
+from helpers import bars, series_dates
 from kestrel.sources import ingest, vendor
 
 
@@ -58,6 +58,17 @@ def test_an_empty_folder(spark, tmp_path):
     assert rows.collect() == [] and rows.columns[0] == "file"
 
 
+def test_files_written_from_a_bucketed_table(spark, tmp_path):
+    rows = [(t, day, 1.0 + i) for i, day in enumerate(series_dates(30)) for t in ("A", "B", "C", "D", "E")]
+    table = "vendor_bucketed"
+    bars(spark, rows).write.bucketBy(8, "ticker").sortBy("ticker").option("path", str(tmp_path / "bars")).saveAsTable(table)
+    raw = spark.table(table).withColumnRenamed("ticker", "symbol")
+    vendor.write_vendor_files(raw, str(tmp_path / "out"))
+    got = vendor.read_vendor(spark, str(tmp_path / "out"))
+    assert vendor.failed_files(got).collect() == [] and vendor.vendor_bars(got).count() == 150
+    spark.sql(f"DROP TABLE {table}")
+
+
 def test_written_files_come_back(spark, tmp_path):
     prices = bars(spark, [("A, \"x\"", "2020-01-01", 1.1), ("B", "2020-01-01", 0.1 + 0.2), ("B", "2020-01-02", 1e-7)])
     raw = prices.withColumnRenamed("ticker", "symbol")
