@@ -89,13 +89,14 @@ def confidence_bucket_right_closed(c: str | Column) -> Column:
     return out
 
 
-def broadcast_if_small(df, max_rows: int = 2_000_000, bound=None):
-    """Broadcast ``df`` only when a counted row bound is under ``max_rows``; otherwise
+def broadcast_if_small(df, max_bytes: int = 256 << 20, bound=None):
+    """Broadcast ``df`` only when a counted bound on its size is under ``max_bytes``; otherwise
     leave the join strategy to Catalyst/AQE (shuffle join with skew splitting).
 
-    ``bound`` is a relation whose row count bounds ``df`` (e.g. the bare table a
-    dimension is derived from by inner joins and filters); counting a bare parquet
-    table is answered from file footers.
+    The size is rows times 16 bytes and 8 a fixed-width column, 64 a string. ``bound`` is a
+    relation whose row count bounds ``df`` (e.g. the bare table a dimension is derived from by
+    inner joins and filters); counting a bare parquet table is answered from file footers.
     """
     n = (bound if bound is not None else df).count()
-    return F.broadcast(df) if n <= max_rows else df
+    width = 16 + sum(64 if f.dataType.typeName() in ("string", "binary") else 8 for f in df.schema.fields)
+    return F.broadcast(df) if n * width <= max_bytes else df

@@ -184,6 +184,68 @@ def fold_bounds(train: DataFrame, n_splits: int = 3) -> DataFrame:
                           (F.col("train_size") - F.col("before")).cast("bigint").alias("rows_into_date"))
 
 
+def _segments(train: DataFrame, n_splits: int) -> DataFrame:
+    """Rows with their segment: 0 before the first cut, k the test rows of fold k."""
+    n = train.select(F.count(F.lit(1))).scalar()
+    size = F.floor(n / (n_splits + 1))
+    after = F.col("pos") - (n - n_splits * size)     # rows since the first cut
+    return row_positions(train).withColumn("segment", F.when((after < 0) | (size == 0), 0).otherwise(
+        F.floor(after / F.greatest(size, F.lit(1))) + 1).cast("int"))
+
+
+def fold_states(train: DataFrame, cols: list[str] = FEATURE_COLS, n_splits: int = 3) -> DataFrame:
+    """Mergeable statistics of a walk-forward split, from one aggregation over the rows.
+
+    One row per (month, segment, feature): rows, mean, centred sum of squares and range. A
+    segment is the rows between two cuts, so only the month that holds a cut has two
+    states; their number is the calendar's, not the data's. Null and NaN values are no part of
+    a state; a feature without any has n = 0.
+    """
+    of = [F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in cols]
+    sums = _segments(train, n_splits).select(F.trunc("date", "month").alias("month"), "segment", *of).groupBy("month", "segment").agg(
+        *[F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.avg(c).alias("mean"),
+                   (F.var_pop(c) * F.count(c)).alias("squares"), F.min(c).alias("low"), F.max(c).alias("high")).alias(c)
+          for c in cols])
+    return sums.select("month", "segment", F.explode(F.array(*cols)).alias("s")).select("month", "segment", "s.*")
+
+
+def merge_states(states: DataFrame, keys: list[str]) -> DataFrame:
+    """The states of disjoint rows as one state per key: centred sums move to the common mean."""
+    part = Window.partitionBy(*keys)
+    total = F.sum("n").over(part)
+    mean = F.sum(F.col("n") * F.col("mean")).over(part) / F.nullif(total, F.lit(0))
+    return states.withColumn("_mean", mean).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.first("_mean").alias("mean"),
+        F.sum(F.col("squares") + F.col("n") * F.pow(F.col("mean") - F.col("_mean"), 2)).alias("squares"),
+        F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def fold_statistics(states: DataFrame, n_splits: int = 3) -> DataFrame:
+    """Scaler statistics of every expanding fold, as prefix sums of :func:`fold_states`.
+
+    The months of a segment are merged first; fold k then merges the segments before k.
+    """
+    segments = merge_states(states, ["segment", "feature"])
+    grown = segments.filter(F.col("segment") < n_splits).withColumn(
+        "fold", F.explode(F.sequence(F.col("segment") + 1, F.lit(n_splits))))
+    return merge_states(grown, ["fold", "feature"]).select(
+        "fold", "feature", F.col("n").alias("n_train"), "mean",
+        F.sqrt(F.col("squares") / F.nullif(F.col("n"), F.lit(0))).alias("std"), "low", "high")
+
+
+def fold_scaled(train: DataFrame, cols: list[str] = FEATURE_COLS, n_splits: int = 3) -> DataFrame:
+    """Every fold's test rows, z-scored with the statistics of the rows before them (population std, 0 scales by 1).
+
+    The rows are aggregated once and read once more; the folds' statistics are n_splits rows.
+    """
+    folds = fold_statistics(fold_states(train, cols, n_splits), n_splits).groupBy(F.col("fold").alias("segment")).agg(
+        *[F.max(F.when(F.col("feature") == c, F.struct("mean", "std"))).alias(f"_{c}") for c in cols])
+    scaled = [((F.col(c) - F.col(f"_{c}.mean")) / F.when(F.col(f"_{c}.std") > 0, F.col(f"_{c}.std")).otherwise(1.0)).alias(c)
+              for c in cols]
+    keep = [c for c in train.columns if c not in cols]
+    return _segments(train, n_splits).join(F.broadcast(folds), "segment").select(F.col("segment").alias("fold"), *keep, *scaled)
+
+
 # The cross-validation grows 200 trees a class and samples neither rows nor columns.
 FOLD_PARAMS = Params(rounds=200, rows=1.0, columns=1.0)
 

@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrel.config import RISK_FREE_ANNUAL, SQRT_252, TRADING_DAYS
+from kestrel.functions.exprs import broadcast_if_small
 from kestrel.operators.returns import returns_daily
 from kestrel.sources.adapters import HOLDINGS_SCHEMA
 
+UNIVERSE_SLICES = 64
+
 
 class PortfolioArrayError(ValueError):
     pass
@@ -58,10 +61,12 @@ def portfolio_daily_returns(prices: DataFrame, holdings: DataFrame, periods: Dat
 
     Returns are computed over the full history of held tickers first (the
     range filter applies after LAG, so the first day in range has a return).
+    Holdings with their periods are broadcast where their measured size allows:
+    the bars then stay in the tasks of their bucket up to the daily sums.
     """
-    held = holdings.select("ticker").distinct()
+    h = broadcast_if_small(holdings.join(broadcast_if_small(periods), "portfolio_id"))
+    held = broadcast_if_small(holdings.select("ticker").distinct())
     r = returns_daily(prices.join(held, "ticker", "left_semi"))
-    h = holdings.join(periods, "portfolio_id")
     j = r.join(h, "ticker").filter(
         F.col("date").between(F.col("start_date"), F.col("end_date")) & F.col("log_return").isNotNull()
     )
@@ -114,12 +119,15 @@ def portfolio_sector_exposure(holdings: DataFrame, stocks: DataFrame) -> DataFra
 def portfolio_candidates(holdings: DataFrame, stocks: DataFrame) -> DataFrame:
     """PF3: per portfolio, the tickers of the universe it does not hold.
 
-    The universe is one sorted array from the ticker dimension (a scalar
-    subquery); each portfolio subtracts its own held set.
+    Portfolios are repeated once per slice of the universe and joined by slice; what a
+    portfolio holds is taken out by an anti join. No task holds the universe or a portfolio.
     """
-    universe = stocks.select(F.sort_array(F.collect_set("ticker"))).scalar()
-    held = holdings.groupBy("portfolio_id").agg(F.collect_set("ticker").alias("held"))
-    return held.select("portfolio_id", F.explode(F.array_except(universe, F.col("held"))).alias("ticker"))
+    slice_of = F.pmod(F.xxhash64("ticker"), F.lit(UNIVERSE_SLICES)).cast("int")
+    universe = stocks.filter(F.col("ticker").isNotNull()).select("ticker").distinct().withColumn("slice", slice_of)
+    ids = holdings.select("portfolio_id").distinct().withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.lit(UNIVERSE_SLICES - 1))))
+    return ids.join(universe, "slice").select("portfolio_id", "ticker") \
+        .join(holdings.select("portfolio_id", "ticker"), ["portfolio_id", "ticker"], "left_anti")
 
 
 def portfolio_normalize(holdings: DataFrame) -> DataFrame:

@@ -278,6 +278,32 @@ SELECT f.fold, CAST(f.train_size AS BIGINT) AS train_size, CAST(f.test_size AS B
 FROM f JOIN t ON t.pos = f.train_size"""))(
     lambda m: ml.fold_bounds(ml.time_split(ml.load_features(m.features))[0]))
 
+_FOLDS_SQL = """
+WITH d AS (SELECT * FROM ml_features WHERE regime IS NOT NULL),
+c AS (SELECT max(date) - INTERVAL 360 DAY AS cut FROM d),
+t AS (SELECT d.*, row_number() OVER (ORDER BY date, ticker) - 1 AS pos FROM d, c WHERE d.date < c.cut),
+n AS (SELECT count(*) AS n, count(*) // 4 AS size FROM t),
+f AS (SELECT CAST(k AS INTEGER) AS fold, n.n - (4 - k) * n.size AS train_size, n.size AS test_size
+      FROM n, (VALUES (1), (2), (3)) AS v(k))"""
+
+
+def _training_rows(m):
+    return ml.time_split(ml.load_features(m.features))[0]
+
+
+register("fold_statistics", q(("ml_features",), _FOLDS_SQL + " UNION ALL ".join(f"""
+SELECT f.fold, '{c}' AS feature, count({c}) AS n_train, avg({c}) AS mean, stddev_pop({c}) AS std,
+       min({c}) AS low, max({c}) AS high
+FROM f JOIN t ON t.pos < f.train_size GROUP BY f.fold""" for c in FEATURE_COLS), ("mean", "std", "low", "high")))(
+    lambda m: ml.fold_statistics(ml.fold_states(_training_rows(m))))
+register("walk_forward_scaled", q(("ml_features",), _FOLDS_SQL + f""",
+st AS (SELECT f.fold, {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATURE_COLS)}
+       FROM f JOIN t ON t.pos < f.train_size GROUP BY f.fold)
+SELECT f.fold, ticker, date, abs_return_next, CAST(regime AS INTEGER) AS regime,
+       {", ".join(f"({c} - m_{c}) / (CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END) AS {c}" for c in FEATURE_COLS)}
+FROM f JOIN st ON st.fold = f.fold JOIN t ON t.pos >= f.train_size AND t.pos < f.train_size + f.test_size""",
+    tuple(FEATURE_COLS) + ("abs_return_next",)))(lambda m: ml.fold_scaled(_training_rows(m)))
+
 
 _MODELS: dict[tuple, str] = {}   # (application, dataset, state of its files, kind) -> folder of the fitted model
 

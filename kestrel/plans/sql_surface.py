@@ -8,7 +8,10 @@
 Every view is the same DataFrame plan the Python API builds (Catalyst sees
 through the view). The table functions take the original array-style
 arguments for one portfolio; many portfolios at once are served by
-``kestrel.operators.portfolio`` keyed by ``portfolio_id``.
+``kestrel.operators.portfolio`` keyed by ``portfolio_id`` and by the table
+functions of ``kestrel.operators.walk``:
+
+    spark.sql("SELECT * FROM portfolio_walk(TABLE(portfolio_daily_returns), path => true)")
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ import datetime as dt
 from pyspark.sql import SparkSession
 
 from kestrel.config import RISK_FREE_ANNUAL, TRADING_DAYS
+from kestrel.operators import portfolio as pf
 from kestrel.operators import scoring as sc
+from kestrel.operators import walk
 from kestrel.plans.context import Market
 
 _HOLDINGS = """p AS (
@@ -79,9 +84,13 @@ def register_sql(spark: SparkSession, base: str, as_of: dt.date | None = None,
         "accuracy_by_confidence_tier": sc.accuracy_by_confidence_tier(m.predictions),
         "accuracy_by_ticker": sc.accuracy_by_ticker(enriched),
         "confusion_matrix": sc.confusion_matrix(m.predictions),
+        "holdings": m.holdings, "periods": m.periods,
+        "portfolio_daily_returns": pf.portfolio_daily_returns(m.prices, m.holdings, m.periods),
+        "holdings_by_sector": m.holdings.join(m.stocks.select("ticker", "sector"), "ticker"),
     }
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     spark.sql(PORTFOLIO_METRICS)
     spark.sql(PORTFOLIO_SECTOR_EXPOSURE)
+    walk.register_functions(spark)
     return m
