@@ -20,14 +20,14 @@ def brute_top(queries, rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("n,width,k,candidates", [(1, 3, 5, 0), (5, 2, 5, 0), (6, 2, 5, 1), (300, 8, 5, 0), (300, 8, 3, 20), (200, 1, 5, 4)])
-def test_shard_matches_brute_force(n, width, k, candidates):
+@pytest.mark.parametrize("n,width,k", [(1, 3, 5), (5, 2, 5), (6, 2, 5), (300, 8, 5), (300, 8, 3), (200, 1, 5), (2000, 16, 4)])
+def test_shard_matches_brute_force(n, width, k):
     rng = np.random.default_rng(n + width)
     x = rng.integers(-6, 7, (n, width)).astype(float)
     ids = rng.permutation(n).astype(np.int64)
     q = np.concatenate([x[: min(n, 7)], np.zeros((1, width))])
     q_ids = np.concatenate([ids[: min(n, 7)], [10**6]])
-    got = K.nra_shard(q, q_ids, x, ids, k, candidates)
+    got = K.nra_shard(q, q_ids, x, ids, k)
     best = {}
     for qi, i, s in got:
         best.setdefault(qi, []).append((-s, i))
@@ -42,6 +42,46 @@ def test_shard_is_exact_beyond_doubles():
         (-(int(a) * (2**20 + 1) + int(b)), i) for i, (a, b) in enumerate(x.tolist()))
 
 
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_bounds_end_the_reading_early_on_skewed_vectors(n):
+    """One shard: entries read and rows scored together stay well below all values, at either size."""
+    rng = np.random.default_rng(5)
+    width, k = 16, 5
+    x = np.floor(rng.standard_t(1.5, (n, width)) * 64)
+    ids, report = np.arange(n), []
+    q = x[:40]
+    got = K.nra_shard(q, ids[:40], x, ids, k, report)
+    want = brute_top(list(zip(range(40), q)), list(enumerate(x)), k)
+    best = {}
+    for qi, i, s in got:
+        best.setdefault(qi, []).append((-s, i))
+    assert sorted((qi, r + 1, i, -s) for qi, v in best.items() for r, (s, i) in enumerate(sorted(v))) == want
+    read, scored = np.array(report).T
+    assert len(report) == 40 and ((read + scored * width) < 0.75 * n * width).all()
+    assert np.mean(read + scored * width) < 0.2 * n * width and scored.mean() < 0.1 * n
+
+
+@pytest.mark.parametrize("kind", ["ties", "clusters", "zeros", "huge", "tiny weights"])
+def test_shard_on_odd_vectors(kind):
+    rng = np.random.default_rng(8)
+    x = {"ties": rng.integers(0, 2, (500, 6)), "clusters": np.repeat(rng.integers(-99, 99, (25, 6)), 20, axis=0),
+         "zeros": np.zeros((500, 6)), "huge": rng.integers(-9, 9, (500, 6)) * 2.0 ** 26 + rng.integers(-3, 4, (500, 6)),
+         "tiny weights": rng.integers(-99, 99, (500, 6)) * np.array([1000, 1, 1, 0, 1, 1])}[kind].astype(float)
+    ids = rng.permutation(500)
+    got = K.nra_shard(x[:9], ids[:9], x, ids, 5)
+    best = {}
+    for qi, i, s in got:
+        best.setdefault(qi, []).append((-s, i))
+    assert sorted((int(qi), r + 1, i, -s) for qi, v in best.items() for r, (s, i) in enumerate(sorted(v))) \
+        == brute_top(list(zip(ids[:9].tolist(), x[:9])), list(zip(ids.tolist(), x)), 5)
+
+
+def test_scores_beyond_long_are_its_ends():
+    x = np.full((2, 2), 9.2e18)
+    assert K.nra_shard(x[:1], np.array([7]), np.array([[9.2e18, 9.2e18], [-9.2e18, 0]]), np.array([0, 1]), 2) == [
+        (7, 0, 2 ** 63 - 1), (7, 1, -2 ** 63)]
+
+
 def test_shards_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(K, "SHARD_ROWS", 30)
     monkeypatch.setattr(K, "QUERY_ROWS", 6)
