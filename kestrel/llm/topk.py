@@ -2,18 +2,15 @@
 
 Rows are dealt into shards. Per shard every component is a list of (value, row) sorted by
 value, read from the top for queries with a positive weight on it and from the bottom for
-negative ones. A round lowers one threshold for all lists of a query and reads, in every
-list, the entries whose contribution (weight times value) reaches it: lists of great weight
-are read deep, lists of little weight hardly, and every unread entry of a begun list
-contributes at most the threshold. So a row's upper bound needs only the sum and the number
-of its entries read; its lower bound takes the far end of every list not read. A row's first
-entry carries its norm, which bounds the unread rest by Cauchy's inequality as well.
-Thresholds are chosen so that each round about doubles the entries read.
-
-A row that cannot reach the k-th best lower bound is out. Reading stops when resolving the
-exact scores of the rows still open takes no more values than were read so far (k rows at
-the latest when all lists are read, ties aside), whatever the size of the shard. The shards'
-top k merge into the result.
+negative ones. All lists are read in step, each round to twice the depth of the last one, for
+a batch of queries at a time. An entry not read contributes at most weight times the value at
+its list's frontier. A row's first entry carries its norm, so Cauchy's inequality bounds the
+rest as well: the weights of the lists where the row was not read times what the entries read
+leave of its norm. The smaller of both makes the upper bound, the second one the lower bound.
+
+A row that cannot reach the k-th best lower bound is out. A query stops reading when no more
+rows are open than the depth read, whatever the size of the shard: resolving their exact
+scores then costs no more than the reading did. The shards' top k merge into the result.
 
 Components are floor(256 x), x as double; beyond the range of long they are its ends. Integer
 arithmetic stays exact in doubles below 2**53; larger sums take Python integers, and a score
@@ -36,7 +33,8 @@ from kestrel.llm.common import prepare
 
 K, QUERY_STEP, SCALE = 5, 50, 256.0
 SHARD_ROWS, QUERY_ROWS = 8192, 512
-LEVELS = 64                     # sampled thresholds a list; the first round reads about this part of the entries
+QUERIES_AT_ONCE = 128
+FIRST = 4                       # the first round reads 1 / 2**FIRST of every list
 EXACT, LONG = 2.0 ** 53, 2 ** 63 - 1
 
 
@@ -62,96 +60,56 @@ def _exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([sum(int(a) * int(b) for a, b in zip(r, q)) for r in x], object)
 
 
-class Lists:
-    """A shard's sorted lists: rows and values by ascending value, one list a component."""
-
-    def __init__(self, x: np.ndarray) -> None:
-        self.n = len(x)
-        self.rows = np.argsort(x.T, axis=1, kind="stable")
-        self.values = np.take_along_axis(x.T, self.rows, axis=1)
-        self.norms = (x * x).sum(axis=1)
-        self.greatest = np.abs(x).max(initial=0)
-        self.sample = self.values[:, ::max(1, self.n // LEVELS)]
-
-    def thresholds(self, used: np.ndarray, w: np.ndarray) -> list[float]:
-        """Contributions at growing depths, each round about twice the last one; the last reads everything."""
-        ranked = np.sort((self.sample[used] * w[:, None]).ravel())[::-1]
-        sizes = [len(ranked) >> s for s in range(LEVELS.bit_length() - 1, 0, -1)]
-        return [float(ranked[i - 1]) for i in sizes if i] + [-np.inf]
-
-
-def open_rows(lists: Lists, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, int]:
-    """The rows that may be among a query's k best when reading stops, and the number of entries read."""
-    n, used = lists.n, np.flatnonzero(q)
-    w = q[used]
-    first, last = w * lists.values[used, 0], w * lists.values[used, -1]
-    high, low = np.maximum(first, last), np.minimum(first, last)
-    slack = 1e-12 * lists.greatest * np.abs(w).sum()       # far above the rounding of sums and thresholds
-    depth = np.zeros(len(used), np.int64)
-    seen, floor, squares, weights = np.zeros((4, n))       # over a row's entries read: contribution, far ends, x*x, w*w
-    count, n_read = np.zeros(n), 0
-    still = ~own
-    for level in lists.thresholds(used, w):
-        rows, values, lengths = [], [], np.zeros(len(used), np.int64)
-        for i, j in enumerate(used):
-            if level == -np.inf:
-                to = n
-            elif w[i] > 0:
-                to = n - np.searchsorted(lists.values[j], level / w[i], "left")
-            else:
-                to = np.searchsorted(lists.values[j], level / w[i], "right")
-            at = depth[i]
-            if to > at:
-                part = slice(n - to, n - at) if w[i] > 0 else slice(at, to)
-                rows.append(lists.rows[j, part])
-                values.append(lists.values[j, part])
-                lengths[i], depth[i] = to - at, to
-        if rows:
-            row, value, of = np.concatenate(rows), np.concatenate(values), np.repeat(np.arange(len(used)), lengths)
-            n_read += len(row)
-            if not still.all():                            # entries of rows that are out are passed over
-                kept = np.flatnonzero(still[row])
-                row, value, of = row[kept], value[kept], of[kept]
-            weight = w[of]
-            count += np.bincount(row, minlength=n)
-            seen += np.bincount(row, value * weight, n)
-            floor += np.bincount(row, low[of], n)
-            squares += np.bincount(row, value * value, n)
-            weights += np.bincount(row, weight * weight, n)
-        if level == -np.inf:
-            upper, lower = seen, seen.copy()
-        else:
-            begun = high >= level
-            norm = np.where(count > 0, lists.norms, lists.norms.max())
-            rest = np.sqrt(np.maximum((w * w).sum() * (1 + 1e-12) - weights, 0)
-                           * np.maximum(norm * (1 + 1e-12) - squares, 0))
-            upper = seen + np.minimum((begun.sum() - count) * level + high[~begun].sum(), rest)
-            lower = seen + np.maximum(low.sum() - floor, -rest)
-        lower[~still] = -np.inf                            # the k rows behind the k-th best are never out
-        kth = np.partition(lower, n - k)[n - k] if n > k else -np.inf
-        still &= upper >= kth - 2 * slack
-        if still.sum() * len(used) <= n_read:
-            break
-    return np.flatnonzero(still), n_read
-
-
 def nra_shard(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int,
               report: list | None = None) -> list[tuple[int, int, int]]:
     """(query_id, vec_id, score) of every query's k best rows of one shard.
 
-    ``report`` receives (entries read, rows scored exactly) for each query.
+    ``report`` receives (depth read, rows scored exactly) for each query.
     """
+    n, width = x.shape
     out: list[tuple[int, int, int]] = []
-    if not len(x) or not len(queries):
+    if not n or not len(queries):
         return out
-    lists = Lists(x)
-    for q, query_id in zip(queries, query_ids):
-        rows, n_read = open_rows(lists, q, ids == query_id, k)
-        if report is not None:
-            report.append((n_read, len(rows)))
-        score = _exact_scores(q, x[rows])
-        best = sorted(zip((-s for s in score.tolist()), ids[rows].tolist()))[:k]
-        out.extend((int(query_id), i, max(-LONG - 1, min(LONG, -s))) for s, i in best)
+    order = np.argsort(x, axis=0, kind="stable")
+    at = np.arange(width)
+    norms = (x * x).sum(axis=1)
+    # Both directions side by side: the left half serves positive weights, the right half negative ones.
+    signed = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
+    total = (signed * signed).sum(axis=1)
+    slack = 2e-12 * np.abs(x).max(initial=0) * np.abs(signed).sum(axis=1)      # far above the rounding of the bounds
+    value, unread = np.zeros((n, 2 * width)), np.ones((n, 2 * width))
+    live, depth, step = np.arange(len(queries)), 0, max(1, n >> FIRST)
+    while len(live):
+        to = min(n, step)
+        for rows, half in ((order[n - to:n - depth], at), (order[depth:to], at + width)):
+            value[rows, half], unread[rows, half] = x[rows, at], 0
+        depth, step = to, 2 * step
+        w = signed[live]
+        upper = value @ w.T
+        lower = upper
+        if depth < n:
+            frontier = np.concatenate([x[order[n - depth], at], x[order[depth - 1], at]])
+            norm = np.where(unread.min(axis=1, initial=1) == 0, norms, norms.max()) * (1 + 1e-12)
+            left = np.maximum(norm[:, None] - (value * value) @ (w != 0).T, 0)
+            rest = np.sqrt(left * (unread @ (w * w).T + 1e-12 * total[live]))
+            lower = upper - rest
+            upper = upper + np.minimum(unread @ (w * frontier).T, rest)
+        own = ids[:, None] == query_ids[live][None, :]
+        if n > k:
+            lower[own] = -np.inf
+            kth = np.partition(lower, n - k, axis=0)[n - k]
+        else:
+            kth = np.full(len(live), -np.inf)
+        still = (upper >= kth - slack[live]) & ~own
+        stop = (still.sum(axis=0) <= depth) | (depth == n)
+        for c in np.flatnonzero(stop):
+            rows = np.flatnonzero(still[:, c])
+            if report is not None:
+                report.append((depth, len(rows)))
+            score = _exact_scores(queries[live[c]], x[rows])
+            best = sorted(zip((-s for s in score.tolist()), ids[rows].tolist()))[:k]
+            out.extend((int(query_ids[live[c]]), i, max(-LONG - 1, min(LONG, -s))) for s, i in best)
+        live = live[~stop]
     return out
 
 
@@ -173,7 +131,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if len(a) and len(b):
             width = max(a["v"].map(len).max(), b["v"].map(len).max())
             x, ids = _matrix(a["v"], width), a["vec_id"].to_numpy()
-            out = nra_shard(_matrix(b["v"], width), b["query_id"].to_numpy(), x, ids, k)
+            for i in range(0, len(b), QUERIES_AT_ONCE):
+                part = b.iloc[i:i + QUERIES_AT_ONCE]
+                out += nra_shard(_matrix(part["v"], width), part["query_id"].to_numpy(), x, ids, k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(
