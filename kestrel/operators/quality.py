@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.exprs import pct
@@ -105,14 +105,20 @@ def corr_diagonal(corr: DataFrame) -> DataFrame:
 
 
 def corr_extremes(corr: DataFrame, peer_of: str, n: int = 10, n_peers: int = 5) -> DataFrame:
-    upper = corr.filter(F.col("ticker_a") < F.col("ticker_b"))
-    c = F.col("correlation")
-    cols = ["ticker_a", "ticker_b", F.round("correlation", 3).alias("corr"), "n_overlap_days"]
-    most = upper.orderBy(c.desc_nulls_first(), "ticker_a", "ticker_b").limit(n).select(F.lit("most").alias("kind"), *cols)
-    least = upper.orderBy(c.asc_nulls_last(), "ticker_a", "ticker_b").limit(n).select(F.lit("least").alias("kind"), *cols)
-    peers = corr.filter((F.col("ticker_a") == peer_of) & (F.col("ticker_b") != peer_of)) \
-        .orderBy(c.desc_nulls_first(), "ticker_b").limit(n_peers).select(F.lit("peer").alias("kind"), *cols)
-    return most.unionByName(least).unionByName(peers)
+    """The n most and least correlated pairs and the closest peers of one ticker, from one pass over
+    the matrix: every row is tagged with the lists it may enter, and a window group limit keeps
+    each task's best rows of a list before they are exchanged."""
+    a, b, c = F.col("ticker_a"), F.col("ticker_b"), F.col("correlation")
+    kinds = F.filter(F.array(F.when(a < b, "most"), F.when(a < b, "least"),
+                             F.when((a == peer_of) & (b != peer_of), "peer")), lambda k: k.isNotNull())
+    tagged = corr.withColumn("kind", F.explode(kinds))
+    falling = F.col("kind") != "least"
+    # NULL correlations lead the falling lists and end the rising one.
+    w = Window.partitionBy("kind").orderBy(F.when(falling, c.isNotNull()).otherwise(c.isNull()),
+                                           F.when(falling, -c).otherwise(c), "ticker_a", "ticker_b")
+    ranked = tagged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(n, n_peers))
+    return ranked.filter(F.col("rank") <= F.when(F.col("kind") == "peer", n_peers).otherwise(n)).select(
+        "kind", "ticker_a", "ticker_b", F.round("correlation", 3).alias("corr"), "n_overlap_days")
 
 
 def avg_pairwise_corr(corr: DataFrame) -> DataFrame:

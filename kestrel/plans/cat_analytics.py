@@ -174,6 +174,10 @@ SELECT date, actual_label, predicted_label, round(confidence, 3) AS confidence,
 FROM predictions_enriched WHERE ticker = {TICKER} ORDER BY date DESC LIMIT 60""",
     ("confidence",)))(N.ticker_prediction_history)
 
+register("prediction_history_codes", q(("ml_predictions",), f"""
+SELECT date, actual_regime AS actual_int, predicted_regime AS predicted_int, round(confidence, 3) AS confidence, correct
+FROM ml_predictions WHERE ticker = {TICKER} ORDER BY date DESC LIMIT 60""", ("confidence",)))(N.prediction_history_codes)
+
 register("latest_price_return", q(("stocks", "returns_daily"), """
 SELECT s.ticker, s.company_name, s.sector, r.date, r.adj_close,
        round(r.simple_return * 100, 2) AS last_day_return_pct

@@ -43,7 +43,10 @@ class Market:
 
     @cached_property
     def index(self) -> DataFrame:
-        return adapters.index_daily(self.spark, self.base)
+        """The index, stored like the bars in one file by date: one row a day, read several times by the index queries."""
+        from kestrel.sources.store import stored
+        return stored(self.spark, "index", self.base, ("orders",), lambda: adapters.index_daily(self.spark, self.base),
+                      bucket_by="date", sort_by=("date",), buckets=1)
 
     @cached_property
     def predictions(self) -> DataFrame:

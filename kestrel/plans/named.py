@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.functions.exprs import pct, safe_ratio
+from kestrel.functions.exprs import label_to_code, pct, safe_ratio
 from kestrel.operators import portfolio as pf
 from kestrel.operators import scoring as sc
 from kestrel.operators.latest import latest_per_key, price_change
@@ -167,6 +167,13 @@ def ticker_prediction_history(m: Market, ticker: str = DEFAULT_TICKER, limit_n:
     ).orderBy(F.col("date").desc()).limit(limit_n)
 
 
+def prediction_history_codes(m: Market, ticker: str = DEFAULT_TICKER, limit_n: int = 60) -> DataFrame:
+    """The history of Q18 by date with the labels as ordinal codes (F10); an unknown label has none."""
+    return ticker_prediction_history(m, ticker, limit_n).select(
+        "date", label_to_code("actual_label").alias("actual_int"), label_to_code("predicted_label").alias("predicted_int"),
+        "confidence", "correct").orderBy("date")
+
+
 def latest_price_return(m: Market) -> DataFrame:
     last = latest_per_key(m.returns, cols=["date", "adj_close", "simple_return"])
     return _names(m).join(last, "ticker").select(
