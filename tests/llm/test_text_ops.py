@@ -115,6 +115,47 @@ def test_language_cases(spark, make_docs):
     assert I.identify(make_docs([])).collect() == []
 
 
+def test_language_learns_from_every_row(spark, make_docs):
+    """Model and threshold follow rows far beyond the weight of a language, however they are dealt."""
+    rng = np.random.default_rng(3)
+    words = {"de": "der die das und nicht ist".split(), "en": "the of and is not are".split()}
+    docs = [(i, " ".join(rng.choice(words["de" if i % 2 else "en"], 3)), "de" if i % 2 else "en") for i in range(3000)]
+    df = make_docs(docs)
+    model, again = I.fit(df), I.fit(df.repartition(7))
+    assert (model.weights == again.weights).all() and (model.bias == again.bias).all()
+
+    def kernel_form(rows, marks):
+        k = np.stack([marks.columns(I.grams(t)) for _, t, _ in rows])
+        y = np.array([[float(lang == x) for x in ("de", "en")] for *_, lang in rows])
+        w = y @ (np.minimum(800, y.sum(axis=0)) / y.sum(axis=0))
+        bias = (w[:, None] * y).sum(axis=0) / w.sum()
+        phi = marks.present / marks.root
+        lhs = (k * w[:, None]).T @ k + I.RIDGE * w.sum() * phi.T @ phi + 1e-9 * w.sum() * np.eye(k.shape[1])
+        return phi @ np.linalg.solve(lhs, (k * w[:, None]).T @ (y - bias)), bias
+
+    train = [r for r in docs if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    sizes = spark.createDataFrame([(x, sum(r[2] == x for r in train)) for x in words], "lang string, rows long")
+    learned = df.filter(I.fold(F.col("doc_id")) != 1)
+    weights, bias = kernel_form(train, I.Landmarks(I._landmarks(learned, sizes, I.LANDMARKS)))
+    assert min(r.rows for r in sizes.collect()) > 800
+    assert np.allclose(model.weights, weights, atol=1e-2 * np.abs(weights).max()) and np.allclose(model.bias, bias)
+
+
+def test_least_gain_is_of_all_held_out_rows(spark, make_docs):
+    docs = [(i, "der die das und nicht" if i % 2 else "the of and is not", "de" if i % 2 else "en") for i in range(14_000)]
+    model = I.fit(make_docs(docs))
+    held = [i for i, *_ in docs if zlib.crc32(str(i).encode()) % 3 == 1]
+    share = {r.id: r.share for r in spark.createDataFrame([(i,) for i in held], "id long").select(
+        "id", I.hash_share(F.col("id")).alias("share")).collect()}
+    last = sorted(held, key=share.get)[-40:]          # a sample by the hash never came to these
+    poor = {i: "der qwx zzy und" if i % 2 else "the qwx zzy and" for i in last}
+    mixed = make_docs([(i, poor.get(i, t), lang) for i, t, lang in docs])
+    gains = sorted(r.f.gain for r, lang in ((r, r.lang) for r in mixed.filter(I.fold(F.col("doc_id")) == 1).select(
+        "lang", I.predict(spark, model)(F.col("text")).alias("f")).collect()) if r.f.lang_pred == lang)
+    want = max(I.LEAST, I.SLACK * gains[-(-len(gains) * 5 // 1000) - 1])
+    assert want < I.SLACK * gains[len(gains) // 2] and abs(I.least_gain(mixed, model) - want) < 1e-9
+
+
 JUNK = ["asdkjh qwlkj zxmcn qpwoei lkjasd mnbzxc qwepoi", "xkcd zzzz qqqq vvvv wwww kkkk", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ",
         "for (int i = 0; i < n; ++i) { a[i] += b[i]; }", "Это русский текст о погоде и природе в нашей стране",
         "この文章は日本語で書かれています", "to jest polski tekst o pogodzie w naszym kraju"]
