@@ -2,8 +2,8 @@
 
 The training rows are binned once into packed blocks that Spark keeps. A round grows one tree per
 class, level by level: every block sums gradients and hessians per node, column and bin, Spark adds
-the blocks' histograms up in a tree of partial sums, and the driver sees only the sums, whose size
-is that of one tree level. Sums are fixed-point integers, so the trees do not depend on how the rows
+the blocks' histograms up by tree, the task that holds a tree's sums splits its nodes, and the driver
+sees only the splits: a few numbers a node, however many rows, columns and blocks there are. Sums are fixed-point integers, so the trees do not depend on how the rows
 are dealt to blocks or on the order of the additions.
 
 Several boosters (parameter sets, or expanding prefixes of the rows) grow side by side in the same
@@ -33,7 +33,7 @@ from pyspark.storagelevel import StorageLevel
 from kestrel.config import checkpoint_dir
 
 BINS = 32
-ROWS_PER_BLOCK = 1 << 14    # at least; beyond two blocks a core they grow
+ROWS_PER_BLOCK = 1 << 16    # at least; beyond two blocks a core they grow. One block needs no shuffle a level
 UNIT = float(1 << 20)          # gradients are summed as multiples of 1 / UNIT
 SNAPSHOT = 25                  # rounds between broadcasts of the trees so far
 EDGE_ACCURACY = 10_000
@@ -241,20 +241,19 @@ def _histograms(fit: str, growing: dict[int, _Growing], snapshot, n_bins: int, b
     return total
 
 
-def _pack(sums: dict[int, list[np.ndarray]]) -> bytes:
+def _pack(sums: np.ndarray) -> bytes:
     return zlib.compress(pickle.dumps(sums, pickle.HIGHEST_PROTOCOL), 1)
 
 
-def _unpack(packed: bytes) -> dict[int, list[np.ndarray]]:
+def _unpack(packed: bytes) -> np.ndarray:
     return pickle.loads(zlib.decompress(packed))
 
 
 def _added(a: bytes, b: bytes) -> bytes:
-    x, y = _unpack(a), _unpack(b)
-    return _pack({k: [i + j for i, j in zip(x[k], y[k])] for k in x} if x and y else x or y)
+    return _pack(_unpack(a) + _unpack(b))
 
 
-# ---- splits, on the driver ---------------------------------------------------------------
+# ---- splits, where a tree's sums meet -----------------------------------------------------
 
 def best_splits(sums: np.ndarray, columns: np.ndarray, level: int, n_bins: int, params: Params, tree: Tree) -> None:
     """Split the nodes of a level from their sums (column, node x bin, 2); ties: first column, lowest cut."""
@@ -284,6 +283,22 @@ def best_splits(sums: np.ndarray, columns: np.ndarray, level: int, n_bins: int,
             tree.value[child] = -params.rate * g / (h + params.l2)
 
 
+@dataclass
+class _Split:
+    """Sums of a tree's level -> its splits."""
+    growing: dict[int, _Growing]
+    classes: int
+    n_bins: int
+
+    def __call__(self, found: tuple[int, bytes]) -> tuple[int, tuple]:
+        k, cls = divmod(found[0], self.classes)
+        g = self.growing[k]
+        tree, first = g.current[cls], 1 << g.level
+        best_splits(_unpack(found[1]), g.columns[cls], g.level, self.n_bins, g.params, tree)
+        own, below = slice(first, 2 * first), slice(first, 4 * first)
+        return found[0], (tree.feature[own], tree.cut[own], tree.gain[own], tree.value[below])
+
+
 @dataclass
 class _Booster:
     """A booster between two jobs, on the driver."""
@@ -301,9 +316,12 @@ class _Booster:
         self.current = [Tree.empty(self.params.depth) for _ in range(self.classes)]
         self.columns = [sampled_columns(self.width, self.params, r, c) for c in range(self.classes)]
 
-    def advance(self, sums: list[np.ndarray], n_bins: int) -> None:
-        for cls, x in enumerate(sums):
-            best_splits(x, self.columns[cls], self.level, n_bins, self.params, self.current[cls])
+    def advance(self, splits: dict[int, tuple]) -> None:
+        """One level on, from the splits of every class."""
+        first = 1 << self.level
+        for cls, tree in enumerate(self.current):
+            own, below = slice(first, 2 * first), slice(first, 4 * first)
+            tree.feature[own], tree.cut[own], tree.gain[own], tree.value[below] = splits[cls]
         self.level += 1
         if self.level == self.params.depth:
             self.done.append(self.current)
@@ -326,9 +344,14 @@ def fit_many(blocks: Blocks, params: list[Params]) -> list["BoostedModel"]:
                 old.unpersist()
         task = _Task(fit, {k: _Growing(b.params, b.done[b.sent:], b.sent, b.current, b.columns, b.level)
                            for k, b in growing.items()}, snapshot, blocks.bins)
-        found = _unpack(blocks.rdd.mapPartitions(task).treeReduce(_added))
-        for k, sums in found.items():
-            boosters[k].advance(sums, blocks.bins)
+        split = _Split({k: replace(g, trees=[]) for k, g in task.growing.items()}, blocks.classes, blocks.bins)
+        tasks = min(blocks.classes * len(growing), sc.defaultParallelism)
+        sums = blocks.rdd.mapPartitions(task)
+        if blocks.rdd.getNumPartitions() > 1:
+            sums = sums.reduceByKey(_added, tasks, _itself)
+        found = dict(sums.map(split).collect())
+        for k, b in growing.items():
+            b.advance({cls: found[k * blocks.classes + cls] for cls in range(blocks.classes)})
     return [BoostedModel(blocks.columns, blocks.edges, blocks.classes, b.params, b.done) for b in boosters.values()]
 
 
@@ -339,8 +362,15 @@ class _Task:
     snapshot: object
     n_bins: int
 
-    def __call__(self, blocks) -> Iterator[bytes]:
-        yield _pack(_histograms(self.fit, self.growing, self.snapshot, self.n_bins, blocks))
+    def __call__(self, blocks) -> Iterator[tuple[int, bytes]]:
+        """Number of a booster's tree (booster x classes + class) and its sums."""
+        for k, sums in _histograms(self.fit, self.growing, self.snapshot, self.n_bins, blocks).items():
+            for cls, x in enumerate(sums):
+                yield k * len(sums) + cls, _pack(x)
+
+
+def _itself(key: int) -> int:
+    return key
 
 
 # ---- the model ----------------------------------------------------------------------------

@@ -1,5 +1,7 @@
 """Gradient boosting against an exhaustive booster on a small table."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +119,21 @@ def test_odd_inputs(spark, table):
     assert all((t.feature < 0).all() for trees in model.trees for t in trees) and model.importances() == [0.0] * 3
     share = np.bincount(arrays(table)[1], minlength=3)
     assert model.margins(np.ones((1, 3))).argmax() == share.argmax()
+
+
+def test_driver_sees_splits_not_sums(spark, table, monkeypatch):
+    """What a level brings to the driver follows its nodes, not columns x bins x blocks."""
+    seen, advance = [], gb._Booster.advance
+
+    def spy(self, *found):
+        seen.append((1 << self.level, len(pickle.dumps(found))))
+        return advance(self, *found)
+
+    monkeypatch.setattr(gb._Booster, "advance", spy)
+    for size in (1000, 60):
+        monkeypatch.setattr(gb, "ROWS_PER_BLOCK", size)
+        blocks = gb.Blocks(table.repartition(3), COLUMNS, "y", ["id"], bins=200)
+        gb.fit_many(blocks, [gb.Params(rounds=2, depth=4), gb.Params(rounds=1, depth=2, seed=1)])
+        blocks.close()
+    assert len(seen) == 2 * (2 * 4 + 2)
+    assert all(size < 3 * (60 * nodes + 1000) for nodes, size in seen)
