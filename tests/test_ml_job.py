@@ -1,13 +1,14 @@
 """Models, the refresh job and its failure signal."""
 
 import datetime as dt
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from helpers import SF_SMALL
-from kestrel.operators import ml
+from kestrel.operators import boosting, ml
 from kestrel.operators.boosting import Params
 from kestrel.plans import job, named
 from kestrel.plans.context import Market
@@ -43,6 +44,20 @@ def test_sweep_reports_every_configuration(split):
     assert all(r.best_n_trees_accuracy >= r.accuracy and r.best_n_trees <= r.n_trees for r in got)
 
 
+def test_sweep_sends_the_driver_splits_only(split, monkeypatch):
+    """A level of 16 nodes and 9 columns in 32 bins is 74 kB of sums a tree; its splits are half a kB."""
+    seen, advance = [], boosting._Booster.advance
+
+    def spy(self, *found):
+        seen.append(len(pickle.dumps(found)))
+        return advance(self, *found)
+
+    monkeypatch.setattr(boosting._Booster, "advance", spy)
+    monkeypatch.setattr(boosting, "ROWS_PER_BLOCK", 1000)
+    ml.hyperparam_sweep(*split, configs=[("default", Params(rounds=1)), ("depth=7", Params(rounds=1, depth=7))])
+    assert len(seen) == 12 and max(seen) < 12_000
+
+
 def test_incomplete_rows_are_an_error_not_dropped(spark, split):
     bad = split[0].limit(50).withColumn("ret_1d", F.lit(None).cast("double"))
     with pytest.raises(Exception, match="(?i)null|invalid"):
