@@ -24,7 +24,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -50,9 +50,9 @@ HEADER = struct.Struct("<II")
 
 
 # Chunks whose pieces are plain to see: Latin letters, signs that begin no contraction, single line ends.
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?%&$#*|=+<>()\[\]\"-]*)").fullmatch
 _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[.,;:!?%&$#*|=+<>()\[\]\"-]+|\n")
-_PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[.,;:!?%&$#*|=+<>()\[\]\"-]+|\n(?=\S))+")
+_PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ɏ]++|[.,;:!?%&$#*|=+<>()\[\]\"-]++|\n(?=\S))++")   # possessive: no retries
 
 
 class SeekableWriter:
@@ -111,6 +111,24 @@ class SeekableReader:
         return content
 
 
+class _Known(dict):
+    """Ids by string, made when first asked for; those of long strings are not kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.make(key)
+        if len(key) <= LONGEST_CACHED:
+            self[key] = ids
+        return ids
+
+
+class _Odd(Exception):
+    """A chunk that is empty or has white space at an end."""
+
+
 class ChunkEncoder:
     """Whole-text ids through a cache of chunks.
 
@@ -133,8 +151,9 @@ class ChunkEncoder:
         rest = [b for b in range(256) if b not in printable]
         self.char_of = {b: chr(256 + i) for i, b in enumerate(rest)}    # the other bytes stand for themselves
         self.blank, self.tokenize = self.char_of[32], self.tokenizer.model.tokenize
-        self.cache: dict[str, bytes] = {}    # ids of a chunk after a blank
-        self.pieces: dict[str, bytes] = {}   # ids of a piece after anything else
+        self.cache = _Known(self._after_blank)   # ids of a chunk after a blank
+        self.pieces = _Known(self._model)        # ids of a piece after anything else
+        self.passing: dict[tuple[str, str], bytes] = {}   # of this call: text starts, long and odd chunks
         self.split = re.compile(r"(?<=\S) (?=\S)").split
 
     def _library(self, chunks: list[str]) -> list[bytes]:
@@ -149,37 +168,28 @@ class ChunkEncoder:
             name = (lead + piece).encode().decode("latin-1").translate(self.char_of)
         return array("I", [t.id for t in self.tokenize(name)]).tobytes()
 
-    def _plain(self, chunk: str, lead: str) -> bytes:
-        """Ids of a chunk of Latin letters, signs and single line ends: one piece each, the first with the blank."""
-        first, *rest = _PIECE.findall(chunk)
+    def _ids(self, chunk: str, lead: str) -> bytes:
+        """Ids of a chunk after ``lead`` (a blank or nothing)."""
         known = self.cache if lead else self.pieces
-        ids = known.get(first)
+        if word := _WORD(chunk):       # most chunks are: a word and signs behind it, one piece each
+            letters, signs = word.groups()
+            return known[letters] + self.pieces[signs] if signs else self._model(letters, lead)
+        if _PLAIN.fullmatch(chunk):    # pieces too, the first with the blank
+            first, *rest = _PIECE.findall(chunk)
+            return b"".join([known[first], *map(self.pieces.__getitem__, rest)]) if rest else self._model(first, lead)
+        return self._library([lead + chunk])[0]
+
+    def _once(self, chunk: str, lead: str) -> bytes:
+        """Ids of a chunk, kept for this call only."""
+        ids = self.passing.get((chunk, lead))
         if ids is None:
-            ids = self._model(first, lead)
-            if len(first) <= LONGEST_CACHED:
-                known[first] = ids
-        out = [ids]
-        for piece in rest:
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self._model(piece)
-                if len(piece) <= LONGEST_CACHED:
-                    self.pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _ids(self, chunks: Iterable[str], lead: str) -> dict[str, bytes]:
-        """Ids of distinct chunks, all after ``lead`` (a blank or nothing)."""
-        out, hard = {}, []
-        for chunk in chunks:
-            if _LETTERS(chunk):        # one piece; most chunks are
-                out[chunk] = self._model(chunk, lead)
-            elif _PLAIN.fullmatch(chunk):
-                out[chunk] = self._plain(chunk, lead)
-            else:
-                hard.append(chunk)
-        out.update(zip(hard, self._library([lead + c for c in hard])))
-        return out
+            ids = self.passing[chunk, lead] = self._ids(chunk, lead)
+        return ids
+
+    def _after_blank(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _Odd
+        return self._ids(chunk, " ") if len(chunk) <= LONGEST_CACHED else self._once(chunk, " ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
@@ -196,26 +206,22 @@ class ChunkEncoder:
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) + len(self.pieces) > CACHE_CHUNKS:
-            cache.clear()
+        if len(self.cache) + len(self.pieces) > CACHE_CHUNKS:
+            self.cache.clear()
             self.pieces.clear()
-        docs = [t.split(" ") for t in texts]
-        heads = self._ids({parts[0] for parts in docs}, "")
-        new = set().union(*docs).difference(cache)
-        # A blank beside white space is no boundary: such texts are split at safe blanks only.
-        odd = {c for c in new if not c or c[0].isspace() or c[-1].isspace()}
-        if odd:
-            redo = [d for d, parts in enumerate(docs) if not odd.isdisjoint(parts)]
-            for d in redo:
-                docs[d] = self.split(texts[d])
-            heads.update(self._ids({docs[d][0] for d in redo}, ""))
-            new = set().union(*(docs[d] for d in redo), new - odd).difference(cache)
-        cache.update(self._ids(new, " "))
-        out = [b"".join([heads[parts[0]], *map(cache.__getitem__, parts[1:])]) for parts in docs]
-        for chunk in new:
-            if len(chunk) > LONGEST_CACHED:
-                del cache[chunk]
+        self.passing.clear()
+        out, after_blank = [], self.cache.__getitem__
+        for text in texts:
+            head, *rest = text.split(" ")
+            try:
+                if not head or head[0].isspace() or head[-1].isspace():
+                    raise _Odd
+                ids = [self._once(head, ""), *map(after_blank, rest)]
+            except _Odd:
+                # A blank beside white space is no boundary: such texts are split at safe blanks only.
+                head, *rest = self.split(text)
+                ids = [self._once(head, ""), *(self._once(c, " ") if c[-1].isspace() else after_blank(c) for c in rest)]
+            out.append(b"".join(ids))
         return out
 
 

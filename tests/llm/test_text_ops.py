@@ -156,6 +156,20 @@ def test_least_gain_is_of_all_held_out_rows(spark, make_docs):
     assert want < I.SLACK * gains[len(gains) // 2] and abs(I.least_gain(mixed, model) - want) < 1e-9
 
 
+def test_long_words_before_other_signs_end():
+    """A word of Latin letters followed by anything else is not tried in all its parts; ids are the library's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(W.TOKENIZER))
+    words = ["x" * 70 + "中", "ab" * 40 + "1.", "Donaudampfschifffahrtsgesellschaft7", "the...end\nof", "a", "...", "'s", "", "\t", "é!"]
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(words, 8)) for _ in range(300)] + ["", " ", "a\n", "a \n b", " a", words[0]]
+    encoder = W.ChunkEncoder(tokenizer.to_str(), special=True)
+    for _ in range(2):        # the second time from the cache
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 JUNK = ["asdkjh qwlkj zxmcn qpwoei lkjasd mnbzxc qwepoi", "xkcd zzzz qqqq vvvv wwww kkkk", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ",
         "for (int i = 0; i < n; ++i) { a[i] += b[i]; }", "Это русский текст о погоде и природе в нашей стране",
         "この文章は日本語で書かれています", "to jest polski tekst o pogodzie w naszym kraju"]
