@@ -4,6 +4,7 @@ import datetime as dt
 import pickle
 
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -58,6 +59,27 @@ def test_sweep_sends_the_driver_splits_only(split, monkeypatch):
     assert len(seen) == 12 and max(seen) < 12_000
 
 
+def test_sweep_sends_the_driver_no_more_with_more_rows(spark, split, monkeypatch):
+    """Four times the rows in four times the blocks: every level returns the same few bytes a node."""
+    train, test = split
+    longer = ml.materialize(train.crossJoin(spark.range(4)).withColumn("date", F.expr("date_sub(date, int(id) * 4000)")).drop("id"))
+    configs = [("default", Params(rounds=2, depth=4)), ("depth=6", Params(rounds=1, depth=6))]
+    monkeypatch.setattr(boosting, "ROWS_PER_BLOCK", -(-train.count() // 2))
+    sent, collect = [], RDD.collect
+
+    def spy(self):
+        found = collect(self)
+        sent[-1].append(len(pickle.dumps(found)))
+        return found
+
+    monkeypatch.setattr(RDD, "collect", spy)
+    for rows in (train, longer):
+        sent.append([])
+        ml.hyperparam_sweep(rows, test, configs=configs)
+    assert len(sent[0]) == len(sent[1]) == 8
+    assert max(sent[0] + sent[1]) < 20_000 and sum(sent[1]) < 1.1 * sum(sent[0])
+
+
 def test_incomplete_rows_are_an_error_not_dropped(spark, split):
     bad = split[0].limit(50).withColumn("ret_1d", F.lit(None).cast("double"))
     with pytest.raises(Exception, match="(?i)null|invalid"):
